@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.session import table
+from leafscan.session import table, written
 
 # Letters of other scripts that are drawn as a Latin one.
 CYRILLIC = ("аеорсухіѕјһԁԛԝѵӏАВЕКМНОРСТХУІЅЈԌԚԜҮһ", "aeopcyxisjhdqwvlABEKMHOPCTXYISJGQWYh")
@@ -113,7 +113,8 @@ def alike_pairs(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
     """(left_id, right_id) of rows of one scope value that look the same but differ in their characters.
 
     left and right have the columns id, scope and text. Both are hashed once on (scope, class); classes that hold rows of
-    both sides and more than one text are found first, and only their rows are joined, through the class's canonical member.
+    both sides and more than one text are found first; their rows, a small part, get the class's canonical member and are
+    written, and the two sides are joined on it.
     Null and empty texts and null scopes make no pair; repeated rows make one.
     """
 
@@ -126,7 +127,7 @@ def alike_pairs(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
         F.min("text").alias("canonical"), F.max("text").alias("other"), F.min("side").alias("s0"), F.max("side").alias("s1")
     )
     classes = classes.where("s0 = 0 and s1 = 1 and canonical <> other").select("scope", "alike", "canonical")
-    held = every.join(classes, ["scope", "alike"]).select("side", "id", "scope", "canonical", "text")
+    held = written(every.join(classes, ["scope", "alike"]).select("side", "id", "scope", "canonical", "text"))
     a = held.where("side = 0").select("scope", "canonical", F.col("id").alias("left_id"), F.col("text").alias("left_text"))
     b = held.where("side = 1").select("scope", "canonical", F.col("id").alias("right_id"), F.col("text").alias("right_text"))
     pairs = a.join(b, ["scope", "canonical"]).where("left_text <> right_text")
