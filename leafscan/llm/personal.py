@@ -1,4 +1,390 @@
+"""Problem 4: personal data in pages of text, found by labelers that vote, and replaced by typed placeholders.
+
+Patterns, gazetteers learnt from the corpus and the words around a span each vote on it (+1, -1 or 0). Expectation-maximisation
+over the counts of vote patterns of all spans estimates how reliable each labeler is; its posteriors are the labels
+from which a final span classifier (votes and context words) is trained.
+"""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafscan.llm.noise import skeleton_of
+from leafscan.session import table, written
+
+KINDS = ("email", "phone", "id", "address", "name")
+
+#: Spans that the classifier is trained on, those with the smallest hashes; a bound of the sample, not of the result.
+TRAIN_SPANS = 20_000
+#: Tokens seen as names at least so often, and in at least this share of all occurrences, enter the gazetteers.
+NAME_TIMES, NAME_SHARE = 2, 0.1
+#: At most 1 / NAME_RARE tokens can reach the gazetteers.
+NAME_RARE = 1e-6
+
+# Titles and words that stand before a datum of a kind, or before numbers that are none.
+TITLES = (
+    "mr mrs miss ms dr doctor rev reverend capt captain major colonel sergeant prof professor sir lady m mme mlle monsieur madame docteur herr herrn frau fräulein signor signora dottor dottoressa don doña "
+    "señor señora senhor senhora dona doutor mijnheer meneer mevrouw juffrouw heer herr fru fröken doktor dominus domina reverendus magister "
+    "господин госпожа доктор"
+).split()
+PHONE_WORDS = r"tel|tél|tfn|telephone|telefon|ring|call(?:ed)?(?: on)?|appeler(?: le)?|numero|numéro|number|unter|nås på|bellen|telefoon|llamar|ligar|телефон\w*|номер\w*"
+ID_WORDS = (
+    r"passport|passaporto|pasaporte|passaporte|passeport|paspoort|reisepass|passet|паспорт\w*|ausweis(?:-nr)?|identity(?: card)?|identit\w+|identidad\w*|identidade|"
+    r"social security(?: number)?|nat\. ins\. no|codice(?: personale)?|carte d'identité(?: no)?|personnummer|legitimation\w*|cédula|carné|bilhete|удостоверени\w*"
+)
+ADDRESS_WORDS = (
+    r"directed to|lodged at|removed to|lived at|anschrift|adresse|zuletzt|demeurait|porté au|abitava in|indirizzo|vivía en|llevó a|morava n[ao]|"
+    r"woonde|adres|gebracht naar|bodde på|adressen|адресу|entregue n[ao]|consegnato in|portato in|bezorgd"
+)
+NUMBER_WORDS = (
+    r"receipt|no|accession|bundle|lots?|box|shelfmark|ms|hs|beleg|band|reçu|recibo|cote|segnatura|signatur\w*|signum|cota|codicem|folio|foglio|fólio|feuillet|blatt|blad|"
+    r"reel|frame|page|vol|kvitto\w*|ricevuta|kwitantie|квитанци\w*|шифр|лист|band|deel|tomo"
+)
+
+SP = r"[-‐­¬⸗=]? ?"
+LABEL = r"[A-Za-z0-9]+(?:-+ ?[A-Za-z0-9]+)*"
+EMAIL = re.compile(
+    rf"[A-Za-z0-9_][\w.+-]*(?: ?@ ?| ?\[at\] ?| ?\(at\) ?){LABEL}(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?){LABEL})+", re.IGNORECASE
+)
+PHONE = re.compile(r"(?<![\w./-])(?:\+ ?\d{1,3}[ .-]?)?(?:\(\d{2,5}\) ?)?\d[\d ./-]{4,17}\d(?![\w/]|[-.]\d)")
+ID = re.compile(
+    r"(?<![\w-])(?:[A-Z]{1,3}[- ]?\d{6,8}|(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{8,10}|[A-Z]{2}[- ]?\d{2}[- ]?\d{2}[- ]?\d{2}[- ]?[A-Z]|\d{3}[- ]?\d{2}[- ]?\d{4}|\d{6}[-+]\d{4})(?![\w-]|\.\d)"
+)
+STREET = r"Street|Lane|Row|Court|Ave|Avenue|Sq|Square|Road|Terrace|Place|Close|Hill|Walk|Yard|Way|Gardens|Crescent|St|Rd"
+CAP = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’]*(?:[-‐­¬⸗=] [a-zß-ÿа-я][\w'’]*)?"
+LOW = r"(?:de|du|des|della?|dei|degli|delle|del|da|do|dos|das|la|le|les|los|las|aux|au|à|van|der|den|het|dell['’]\w+|d['’]\w+|l['’]\w+)"
+ADDRESS = re.compile(
+    rf"(?<![\w.-])(?:\d{{1,4}} ?[A-Za-z]? (?:{CAP} ){{1,3}}(?:{STREET})(?!\w)"
+    rf"|\d{{1,4}}(?: bis| ter)?,? (?:rue|quai|impasse|avenue|place|boulevard|chemin|allée|passage|cours|sentier)(?: (?:{LOW}|{CAP}))+"
+    rf"|(?:via|vicolo|piazza|viale|corso|largo|calle|plaza|avenida|paseo|callejón|camino|rua|travessa|praça|beco|улица|переулок|площадь|набережная)(?: (?:{LOW}|{CAP}))+,? \d{{1,4}} ?[a-d]?"
+    rf"|(?:(?:Am|An der|An den|Im|Zum|Zur|Alte|Alter|Neue|Neuer|Obere|Untere|Oude|Nieuwe|Lange|Korte|Gamla|Nya|Stora|Lilla) )?"
+    rf"[A-ZÄÖÜÅ]\w*(?:[-‐­¬⸗=] \w*)?(?:straße|strasse|gasse|weg|platz|markt|graben|ufer|allee|ring|damm|straat|gracht|plein|steeg|kade|laan|dijk|gatan|gränd|gränden|vägen|torget|stigen|backen)"
+    rf",? \d{{1,4}} ?[a-d]?)(?![\w-])"
+)
+WORD = r"[^\W\d_](?:[\w'’]|[-‐­¬⸗=] ?(?=[^\W\d_A-ZÀ-ÞА-Я]))*"
+TOKEN = re.compile(rf"{WORD}")
+
+
+def flat(paragraph: str) -> str:
+    return re.sub(r"\s+", " ", paragraph).strip()
+
+
+def key(token: str) -> str:
+    """A name token without breaks, capitalised."""
+    return re.sub(r"[-‐­¬⸗=] ?|['’]s$", "", token).capitalize()
+
+
+class Names:
+    """Gazetteers of surnames and given names."""
+
+    def __init__(self, surnames: set[str], given: set[str]):
+        self.surnames, self.given = surnames, given
+        self.shapes = {skeleton_of(s) for s in surnames if len(s) >= 6}
+
+    def is_surname(self, token: str) -> bool:
+        k = key(token)
+        return k in self.surnames or (len(k) >= 6 and token[:1].isupper() and skeleton_of(k) in self.shapes)
+
+    def is_given(self, token: str) -> bool:
+        return key(token) in self.given
+
+
+def capital(t: str) -> bool:
+    return t[:1].isupper()
+
+
+def name_seeds(text: str, names: Names | None = None) -> Iterator[tuple[str, str]]:
+    """(token, what it is seen as) of a text: s after a title or an initial; g beside a known surname; u or l (any other, upper or lower case)."""
+    for para in re.split(r"\n\s*\n", text):
+        t = flat(para)
+        toks = list(TOKEN.finditer(t))
+        for i, m in enumerate(toks):
+            w = m.group()
+            if len(w) < 2 and not (i + 1 < len(toks)):
+                continue
+            nxt = toks[i + 1].group() if i + 1 < len(toks) else ""
+            gap = t[m.end() : toks[i + 1].start()] if nxt else ""
+            if len(w) > 2:
+                yield (key(w), "u" if capital(w) else "l")
+            if names is None:
+                title = key(w).lower() in TITLES and gap in (" ", ". ") and capital(nxt)
+                initial = len(w) == 1 and capital(w) and gap == ". " and capital(nxt) and len(nxt) > 2 and not (m.start() and t[m.start() - 1] == ".")
+                if title and len(nxt) > 2:
+                    third = toks[i + 2].group() if i + 2 < len(toks) else ""
+                    gap2 = t[toks[i + 1].end() : toks[i + 2].start()] if third else ""
+                    yield (key(third if gap2 == " " and capital(third) and len(third) > 2 else nxt), "s")
+                elif initial:
+                    yield (key(nxt), "s")
+            elif names.is_surname(w):
+                if i and t[toks[i - 1].end() : m.start()] == " " and capital(toks[i - 1].group()):
+                    yield (key(toks[i - 1].group()), "g")
+                if gap == ", " and capital(nxt):
+                    yield (key(nxt), "g")
+                if i > 1 and len(toks[i - 1].group()) == 1 and t[toks[i - 1].end() : m.start()] == ". " and capital(toks[i - 2].group()):
+                    yield (key(toks[i - 2].group()), "g")
+
+
+def name_counts(pages: DataFrame, names: Names | None = None) -> DataFrame:
+    """(token, how, n) over all pages; counted batch by batch before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = Counter(x for t in b["plain_text"] if t for x in name_seeds(t, names))
+            yield pd.DataFrame([(w, how, n) for (w, how), n in c.items()], columns=["token", "how", "n"])
+
+    return pages.select("plain_text").mapInPandas(run, "token string, how string, n long").groupBy("token", "how").agg(F.sum("n").alias("n"))
+
+
+def gazetteer(pages: DataFrame, names: Names | None, how: str, share: float) -> set[str]:
+    c = name_counts(pages, names).groupBy("token").pivot("how", ["s", "g", "u", "l"]).agg(F.sum("n")).fillna(0)
+    total = F.sum(F.col("u") + F.col("l"))
+    floor = max(NAME_TIMES, NAME_RARE * (c.agg(total).first()[0] or 0))
+    ok = (F.col(how) >= floor) & (F.col(how) >= share * F.col("u")) & (F.col("l") <= 0.01 * F.col("u"))
+    return {r.token for r in c.where(ok).select("token").collect()}
+
+
+def learn_names(pages: DataFrame) -> Names:
+    pages = pages.where("plain_text <> ''")
+    surnames = gazetteer(pages, None, "s", NAME_SHARE)
+    given = gazetteer(pages, Names(surnames, set()), "g", 3 * NAME_SHARE)
+    return Names(surnames, {g for g in given - surnames if g.lower() not in TITLES})
+
+
+# ---------------------------------------------------------------- candidate spans and their votes
+
+
+def near(before: str, words: str) -> bool:
+    """Do the words stand right before, but for a colon, number sign or short word?"""
+    before = re.sub(r"[-‐­¬⸗=] ", "", before[-60:])
+    return re.search(rf"(?<!\w)(?:{words})[.:]?(?: (?:n[or°º]\.?|nummer|is|au|på|a|o|le|el|il|on))?\W*$", before, re.IGNORECASE) is not None
+
+
+def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], str, str, bool]]:
+    """(paragraph, kind, value, votes, word before, word after, touches the end of the text) of each candidate span."""
+    out = []
+    paras = [flat(p) for p in re.split(r"\n\s*\n", text)]
+    last = max((k for k, p in enumerate(paras) if p), default=-1)
+    for k, t in enumerate(paras):
+        if not t:
+            continue
+        taken: list[tuple[int, int]] = []
+
+        def add(kind: str, a: int, b: int, votes: list[int], t: str = t, k: int = k) -> None:
+            before = re.findall(r"[\w'’]+", t[max(0, a - 40) : a].lower())
+            after = re.findall(r"[\w'’]+", t[b : b + 40].lower())
+            out.append((k, kind, t[a:b], votes, before[-1] if before else "^", after[0] if after else "$", k == last and b >= len(t), a))
+
+        for m in EMAIL.finditer(t):
+            taken.append(m.span())
+            v = m.group()
+            add("email", *m.span(), [1, 1 if re.search(r"@", v) else 0, 1 if re.search(r"at[\])]", v) else 0, 1 if re.search(r"[a-z]{2,}$", v, re.IGNORECASE) else -1, 0])
+        free = lambda m: not any(a < m.end() and m.start() < b for a, b in taken)
+        for m in ADDRESS.finditer(t):
+            if free(m):
+                taken.append(m.span())
+                before = t[: m.start()]
+                add("address", *m.span(), [1, 1 if near(before, ADDRESS_WORDS) else 0, 1 if re.search(r"\d", m.group()) else -1, -1 if near(before, NUMBER_WORDS) else 0, 0])
+        coded: list[tuple[int, int]] = []
+        for m in ID.finditer(t):
+            if free(m):
+                if re.search(r"[A-Z]", m.group()):
+                    coded.append(m.span())
+                before = t[: m.start()]
+                letters = bool(re.search(r"[A-Z]", m.group()))
+                ssn = re.fullmatch(r"\d{3}[- ]?\d{2}[- ]?\d{4}", m.group()) is not None
+                add("id", *m.span(), [1 if letters else 0, 1 if near(before, ID_WORDS) else 0, -1 if near(before, NUMBER_WORDS) and not near(before, ID_WORDS) else 0, -1 if near(before, PHONE_WORDS) and not near(before, ID_WORDS) else 0, 1 if ssn or letters else -1])
+        for m in PHONE.finditer(t):
+            digits = re.sub(r"\D", "", m.group())
+            if free(m) and 7 <= len(digits) <= 15 and not any(a < m.end() and m.start() < b for a, b in coded):
+                before = t[: m.start()]
+                ssn = re.fullmatch(r"\d{3}[- ]?\d{2}[- ]?\d{4}", m.group()) is not None
+                add("phone", *m.span(), [1 if m.group()[0] in "+(" else 0, 1 if near(before, PHONE_WORDS) and not near(before, ID_WORDS) else 0, -1 if near(before, NUMBER_WORDS) or near(before, ID_WORDS) else 0, -1 if ssn else 1, -1 if re.fullmatch(r"\d+( \d{1,2})+", m.group()) and m.group()[0] != "0" else 0])
+        toks = list(TOKEN.finditer(t))
+        i = 0
+        while i < len(toks):
+            w = toks[i].group()
+            ok = capital(w) and len(w) > 2 and free(toks[i])
+            joined = i + 1 < len(toks) and capital(w) and t[toks[i].end() : toks[i + 1].start()] == " " and not capital(toks[i + 1].group()) and key(w + toks[i + 1].group()) in names.surnames
+            if not ok or not (names.is_surname(w) or joined):
+                i += 1
+                continue
+            j = i + 1 if joined and not names.is_surname(w) else i
+            a, b = toks[i].start(), toks[j].end()
+            title = given = initial = inverse = 0
+            q = i - 1
+            while q >= 0:
+                p, gap = toks[q].group(), t[toks[q].end() : a]
+                if key(p).lower() in TITLES and gap in (" ", ". "):
+                    title = 1
+                    break
+                if len(p) == 1 and capital(p) and gap == ". ":
+                    initial = 1
+                elif gap == " " and capital(p) and len(p) > 1 and names.is_given(p):
+                    given = 1
+                elif gap == " " and q and not capital(p) and t[toks[q - 1].end() : toks[q].start()] == " " and names.is_given(toks[q - 1].group() + p) and capital(toks[q - 1].group()):
+                    given, q = 1, q - 1  # a given name broken without a mark
+                else:
+                    break
+                a = toks[q].start()
+                q -= 1
+            if not (given or initial) and j + 1 < len(toks) and t[b : toks[j + 1].start()] == ", " and names.is_given(toks[j + 1].group()):
+                inverse, j = 1, j + 1
+                b = toks[j].end()
+                while j + 1 < len(toks) and len(toks[j + 1].group()) == 1 and capital(toks[j + 1].group()) and t[b : toks[j + 1].start()] == " " and t[toks[j + 1].end() : toks[j + 1].end() + 1] == ".":
+                    j += 1
+                    b = toks[j].end() + 1
+            b = a + len(re.sub(r"['’]s?$", "", t[a:b]))
+            exact = 1 if all(key(x) in names.surnames or key(x) in names.given or len(x) <= 2 for x in re.findall(WORD, t[a:b])) else 0
+            add("name", a, b, [1, max(title, initial), max(given, inverse), exact, -1 if re.search(r"\d", t[a:b]) else 0])
+            i = j + 1
+    return out
+
+
+N_VOTES = 5
+SPANS = "page_id long, para int, kind string, value string, votes array<int>, before string, after string, at int, end boolean"
+
+
+def candidate_spans(pages: DataFrame, names: Names) -> DataFrame:
+    """Candidate spans of plain_text (page_id, plain_text, n_lines) with the votes of each labeler. Null and empty texts have none.
+
+    A span that touches the end of a text with fewer lines than the page has is left out, as it is cut.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for page_id, text, n in zip(b["page_id"], b["plain_text"], b["n_lines"], strict=True):
+                if not text:
+                    continue
+                cut = n is not None and n == n and sum(bool(x.strip()) for x in text.split("\n")) < n or re.search(r"(?:…|\.\.\.\]?|�)\s*$", text)
+                for k, kind, value, votes, before, after, end, at in spans_of(text, shared.value):
+                    if not (end and cut):
+                        rows.append((page_id, k, kind, value, votes, before, after, at, bool(end)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+
+    return pages.where("page_id is not null").select("page_id", "plain_text", "n_lines").mapInPandas(run, SPANS)
+
+
+# ---------------------------------------------------------------- reliabilities and the final classifier
+
+
+def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """(posterior of each vote pattern, how often each labeler's votes are right), by expectation-maximisation.
+
+    patterns: votes (+1, -1, 0) and how many spans have them. It starts from the labelers' majority.
+    """
+    if not patterns:
+        return {}, np.zeros(0)
+    v = np.array([p for p, _ in patterns], float)
+    n = np.array([k for _, k in patterns], float)
+    post = 1 / (1 + np.exp(-(v.sum(1) - 0.5) * 1.5))
+    values = (-1, 0, 1)
+    for _ in range(rounds):
+        prior = np.clip((post * n).sum() / n.sum(), 0.01, 0.99)
+        pos = [np.array([((v[:, j] == x) * post * n).sum() + 1 for x in values]) for j in range(v.shape[1])]
+        neg = [np.array([((v[:, j] == x) * (1 - post) * n).sum() + (2 if x < 0 else 1) for x in values]) for j in range(v.shape[1])]
+        logit = np.full(len(v), np.log(prior / (1 - prior)))
+        for j in range(v.shape[1]):
+            a, b = pos[j] / pos[j].sum(), neg[j] / neg[j].sum()
+            k = v[:, j].astype(int) + 1
+            ratio = a / b
+            ratio = np.array([min(1.0, ratio[0]), 1.0, max(1.0, ratio[2])])  # a vote never counts against itself, no vote for nothing
+            logit += np.log(ratio[k])
+        new = 1 / (1 + np.exp(-np.clip(logit, -20, 20)))
+        if np.abs(new - post).max() < 1e-6:
+            break
+        post = new
+    right = np.array([((v[:, j] > 0) * post * n + (v[:, j] < 0) * (1 - post) * n).sum() / max(1.0, ((v[:, j] != 0) * n).sum()) for j in range(v.shape[1])])
+    return {tuple(int(x) for x in p): float(q) for (p, _), q in zip(patterns, post, strict=True)}, right
+
+
+HASHED = 512
+
+
+def features(votes: list[int], before: str, after: str) -> np.ndarray:
+    import zlib
+
+    x = np.zeros(1 + 2 * N_VOTES + HASHED, np.float32)
+    x[0] = 1
+    for j, v in enumerate(votes):
+        if v > 0:
+            x[1 + j] = 1
+        elif v < 0:
+            x[1 + N_VOTES + j] = 1
+    for s in (f"b:{before}", f"a:{after}"):
+        x[1 + 2 * N_VOTES + zlib.crc32(s.encode()) % HASHED] += 1
+    return x
+
+
+def fit(rows: list, posterior: dict[str, dict[tuple[int, ...], float]], rounds: int = 300) -> dict[str, np.ndarray]:
+    """Logistic weights of each kind, from the posteriors as soft labels."""
+    out = {}
+    for kind in KINDS:
+        own = [r for r in rows if r.kind == kind]
+        if not own:
+            continue
+        x = np.array([features(r.votes, r.before, r.after) for r in own])
+        y = np.array([posterior[kind].get(tuple(r.votes), 0.5) for r in own])
+        w = np.zeros(x.shape[1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-x @ w))
+            w += 2.0 * (x.T @ (y - p) / len(y) - 1e-4 * w)
+        out[kind] = w
+    return out
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that the final classifier takes, of overlapping ones the likelier: page_id, para, at, kind, value, p."""
+    pages = table(spark, sf_dir, "page_results", "page_id", "plain_text", "n_lines").dropDuplicates(["page_id"])
+    spans = written(candidate_spans(pages, learn_names(pages)))
+    patterns: dict[str, list] = {k: [] for k in KINDS}
+    for r in spans.groupBy("kind", "votes").count().collect():  # at most 5 x 3^5 patterns
+        patterns[r.kind].append((tuple(r.votes), r["count"]))
+    posterior = {k: reliabilities(p)[0] for k, p in patterns.items()}
+    sample = spans.orderBy(F.xxhash64("page_id", "para", "at", "kind")).limit(TRAIN_SPANS).collect()
+    weights = fit(sample, posterior)
+
+    @F.pandas_udf("double")
+    def score(kind: pd.Series, votes: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([float(1 / (1 + np.exp(-np.dot(features(list(v), b, a), weights[k])))) if k in weights else 0.0 for k, v, b, a in zip(kind, votes, before, after, strict=True)], dtype="float64")
+
+    scored = spans.withColumn("p", score("kind", "votes", "before", "after")).where("p >= 0.5")
+    # The same characters may be a span of two kinds: the likelier one stays.
+    best = scored.groupBy("page_id", "para", "at").agg(F.max_by(F.struct("kind", "value", "p"), F.struct("p", "kind")).alias("x"))
+    return best.select("page_id", "para", "at", "x.kind", "x.value", "x.p")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("page_id", "kind", "value").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text with [EMAIL], [PHONE], [ID], [ADDRESS] and [NAME] in place of what was found; the rest stays as it is."""
+    found = classified(spark, sf_dir).groupBy("page_id").agg(F.collect_set(F.struct("value", "kind")).alias("found"))  # the data of one page
+    pages = table(spark, sf_dir, "page_results", "page_id", "plain_text").dropDuplicates(["page_id"])
+
+    @F.pandas_udf("string")
+    def redact(text: pd.Series, found: pd.Series) -> pd.Series:
+        def one(t: str | None, spans) -> str | None:  # noqa: ANN001
+            if t is None or spans is None:
+                return t
+            for s in sorted(spans, key=lambda s: (-len(s["value"]), s["value"])):
+                pattern = r"\s+".join(re.escape(w) for w in s["value"].split(" "))
+                t = re.sub(rf"(?<!\w){pattern}(?!\w)", f"[{s['kind'].upper()}]", t)
+            return t
+
+        return pd.Series([one(t, f) for t, f in zip(text, found, strict=True)], dtype="object")
+
+    return pages.join(found, "page_id", "left").select("page_id", redact("plain_text", "found").alias("text"), F.coalesce(F.size("found"), F.lit(0)).alias("n_found"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_redacted": p4_redacted}
+ORACLE: dict[str, str] = {}
