@@ -12,6 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from leafscan.session import table, written
 
@@ -75,11 +76,13 @@ def alike(text: Column) -> Column:
 
 def form(text: str) -> str:
     """The same in Python, for tests and for small work inside other operators."""
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_signs()))
+
+
+@lru_cache(maxsize=1)
+def _signs() -> dict:
     one, many, none = sign_maps()
-    if text.isascii():
-        return text
-    text = text.translate(str.maketrans(one | many | dict.fromkeys(none, "")))
-    return unicodedata.normalize("NFC", text)
+    return str.maketrans(one | many | dict.fromkeys(none, ""))
 
 
 def canonical(df: DataFrame, text_col: str, out_col: str = "canonical", scope: tuple[str, ...] = ()) -> DataFrame:
@@ -112,9 +115,9 @@ def canonical(df: DataFrame, text_col: str, out_col: str = "canonical", scope: t
 def alike_pairs(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
     """(left_id, right_id) of rows of one scope value that look the same but differ in their characters.
 
-    left and right have the columns id, scope and text. Both are hashed once on (scope, class); classes that hold rows of
-    both sides and more than one text are found first; their rows, a small part, get the class's canonical member and are
-    written, and the two sides are joined on it.
+    left and right have the columns id, scope and text. Both are hashed once on (scope, class), where each row gets the
+    canonical member of its class; rows of classes with both sides and more than one text, a small part, are written,
+    and the two sides are joined on the canonical member.
     Null and empty texts and null scopes make no pair; repeated rows make one.
     """
 
@@ -122,12 +125,16 @@ def alike_pairs(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
         ok = F.col("text").isNotNull() & (F.col("text") != "") & F.col(scope).isNotNull()
         return df.where(ok).select(F.lit(side).alias("side"), F.col("id"), F.col(scope).alias("scope"), "text", alike(F.col("text")).alias("alike"))
 
-    every = rows(left, 0).unionByName(rows(right, 1)).repartition("scope", "alike")
-    classes = every.groupBy("scope", "alike").agg(
-        F.min("text").alias("canonical"), F.max("text").alias("other"), F.min("side").alias("s0"), F.max("side").alias("s1")
+    every = rows(left, 0).unionByName(rows(right, 1))
+    one_class = W.partitionBy("scope", "alike")
+    classes = every.select(
+        "*",
+        F.min("text").over(one_class).alias("canonical"),
+        F.max("text").over(one_class).alias("other"),
+        F.min("side").over(one_class).alias("s0"),
+        F.max("side").over(one_class).alias("s1"),
     )
-    classes = classes.where("s0 = 0 and s1 = 1 and canonical <> other").select("scope", "alike", "canonical")
-    held = written(every.join(classes, ["scope", "alike"]).select("side", "id", "scope", "canonical", "text"))
+    held = written(classes.where("s0 = 0 and s1 = 1 and canonical <> other").select("side", "id", "scope", "canonical", "text"))
     a = held.where("side = 0").select("scope", "canonical", F.col("id").alias("left_id"), F.col("text").alias("left_text"))
     b = held.where("side = 1").select("scope", "canonical", F.col("id").alias("right_id"), F.col("text").alias("right_text"))
     pairs = a.join(b, ["scope", "canonical"]).where("left_text <> right_text")
