@@ -199,7 +199,7 @@ def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], st
                 before = t[: m.start()]
                 letters = bool(re.search(r"[A-Z]", m.group()))
                 ssn = re.fullmatch(r"\d{3}[- ]?\d{2}[- ]?\d{4}", m.group()) is not None
-                add("id", *m.span(), [1 if letters else 0, 1 if near(before, ID_WORDS) else 0, -1 if near(before, NUMBER_WORDS) and not near(before, ID_WORDS) else 0, -1 if near(before, PHONE_WORDS) and not near(before, ID_WORDS) else 0, 1 if ssn or letters else -1])
+                add("id", *m.span(), [1 if letters else 0, 1 if near(before, ID_WORDS) else 0, -1 if near(before, NUMBER_WORDS) and not near(before, ID_WORDS) else 0, -1 if near(before, PHONE_WORDS) and not near(before, ID_WORDS) else 0, 0 if ssn or letters else -1])
         for m in PHONE.finditer(t):
             digits = re.sub(r"\D", "", m.group())
             if free(m) and 7 <= len(digits) <= 15 and not any(a < m.end() and m.start() < b for a, b in coded):
@@ -296,7 +296,7 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50)
             a, b = pos[j] / pos[j].sum(), neg[j] / neg[j].sum()
             k = v[:, j].astype(int) + 1
             ratio = a / b
-            ratio = np.array([min(1.0, ratio[0]), 1.0, max(1.0, ratio[2])])  # a vote never counts against itself, no vote for nothing
+            ratio = np.array([min(0.5, ratio[0]), 1.0, max(1.5, ratio[2])])  # a vote never counts against itself, no vote for nothing
             logit += np.log(ratio[k])
         new = 1 / (1 + np.exp(-np.clip(logit, -20, 20)))
         if np.abs(new - post).max() < 1e-6:
