@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.llm.packing import settings_of
-from leafscan.llm.tokenizer import BpeTransducer, transducer
-from leafscan.llm.tokens import TOKENIZERS, int_lists, vocabulary
+from leafscan.llm.tokenizer import transducer
+from leafscan.llm.tokens import TOKENIZERS, vocabulary
 from leafscan.session import table
 
 #: Kinds of place, best first: before a paragraph, before a sentence, before a line, before a word, within a word, within a character.
@@ -23,62 +22,65 @@ PIECES = (
     "limit_id int, doc_id long, piece_no int, start_token int, end_token int, n_tokens int, overlap int, cut string, ids array<int>, text string"
 )
 
-_PARAGRAPH = regex.compile(r"\n[ \t\r]*\n\s*| ")
-_SENTENCE = regex.compile(r"[.!?…。]['\")\]”]*\s+")
-_LINE = regex.compile(r"[\n\r ]+")
+_TERMINAL = np.zeros(256, bool)
+_TERMINAL[list(b".!?")] = True
+_CLOSER = np.zeros(256, bool)
+_CLOSER[list(b"'\")]")] = True
 
 
-def boundary_kinds(text: str, ids: list[int], t: BpeTransducer) -> np.ndarray:
-    """Kind of place before each token, 0 .. len(ids)."""
-    raw = text.encode("utf-8", "replace")
-    ends = np.cumsum([len(t.tokens[i]) for i in ids])
-    starts = np.concatenate(([0], ends)).astype(np.int64)
-    by_byte = np.full(len(raw) + 1, INSIDE, np.int8)
+def boundary_kinds(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """Kind of place before each token (and after the last), which start at these bytes of the UTF-8 text.
+
+    Any place within white space is natural: a paragraph's with two line feeds, a line's with one, a sentence's after its end."""
+    n = len(raw)
     data = np.frombuffer(raw, np.uint8)
-    by_byte[:-1][(data & 0xC0) == 0x80] = NEVER
-    space = np.isin(data, (9, 10, 11, 12, 13, 32))
-    before = np.flatnonzero(space)
-    by_byte[before] = np.minimum(by_byte[before], WORD)  # a token carries the space before its word
-    at_char = np.cumsum(((data & 0xC0) != 0x80).astype(np.int64)) if len(raw) != len(text) else None
-    first_byte = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [len(raw)])) if at_char is not None else None
-
-    def mark(pattern: regex.Pattern, kind: int) -> None:
-        for m in pattern.finditer(text):
-            # The white space may go to either side: every place in it is natural.
-            a = m.start() + 1 if kind == SENTENCE else m.start()
-            while a < m.end() and not text[a].isspace():
-                a += 1
-            lo, hi = (a, m.end()) if first_byte is None else (int(first_byte[a]), int(first_byte[m.end()]))
-            span = by_byte[lo : hi + 1]
-            span[span != NEVER] = np.minimum(span[span != NEVER], kind)
-
-    mark(_LINE, LINE)
-    mark(_SENTENCE, SENTENCE)
-    mark(_PARAGRAPH, PARAGRAPH)
-    kinds = by_byte[starts]
-    kinds[0] = kinds[-1] = PARAGRAPH
-    return kinds
-
-
-def successors(kinds: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.full(n + 1, INSIDE, np.int8)
+    kind[:-1][(data & 0xC0) == 0x80] = NEVER
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], space.view(np.int8), [0]))))
+    first, after = edges[::2], edges[1::2]  # runs of white space
+    if len(first):
+        feeds = np.concatenate(([0], np.cumsum(data == 10)))
+        lines = feeds[after] - feeds[first]
+        returns = np.concatenate(([0], np.cumsum(data == 13)))
+        one, two, three = (data[np.maximum(first - k, 0)] for k in (1, 2, 3))
+        wide = (three == 0xE2) & (two == 0x80) & (one == 0xA6) | (three == 0xE3) & (two == 0x80) & (one == 0x82)
+        ended = (_TERMINAL[one] | _CLOSER[one] & _TERMINAL[two] | wide) & (first > 0)
+        of_run = np.full(len(first), WORD, np.int8)
+        of_run[(lines > 0) | (returns[after] > returns[first])] = LINE
+        of_run[ended] = SENTENCE
+        of_run[lines > 1] = PARAGRAPH
+        size = after - first + 1
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        kind[at] = np.repeat(of_run, size)
+    out = kind[starts]
+    out[0] = out[-1] = PARAGRAPH
+    return out
+
+
+def last_places(kinds: np.ndarray) -> list[np.ndarray]:
+    """For each kind: the last place of that kind or a better one up to each place, -1 for none."""
+    place = np.arange(len(kinds), dtype=np.int32)
+    return [np.maximum.accumulate(np.where(kinds <= k, place, np.int32(-1))) for k in range(NEVER + 1)]
+
+
+def successors(last: list[np.ndarray], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """For a piece that starts at each place: where it ends, and where the next one starts (n at the end).
 
     A piece ends at the farthest place of the best kind there is in the second half of what it may hold, and the next
     starts overlap tokens before that.
     """
-    n = len(kinds) - 1
-    place = np.arange(n + 1, dtype=np.int64)
+    n = len(last[0]) - 1
+    place = np.arange(n + 1, dtype=np.int32)
     limit = np.minimum(place + most, n)
     least = np.minimum(place + max(overlap + 1, most // 2), limit)
-    end = np.full(n + 1, -1, np.int64)
-    for kind in range(NEVER + 1):
-        last = np.maximum.accumulate(np.where(kinds <= kind, place, -1))  # farthest such place up to each place
-        found = last[limit]
+    end = np.full(n + 1, -1, np.int32)
+    for places in last:
+        found = places[limit]
         ok = (end < 0) & (found >= least)
         end[ok] = found[ok]
-    end = np.where(place + most >= n, n, end)
-    nxt = np.where(end >= n, n, end - overlap)
-    return end, nxt
+    end[place + most >= n] = n
+    return end, np.where(end >= n, n, end - overlap)
 
 
 def starts_by_doubling(nxt: np.ndarray) -> np.ndarray:
@@ -98,9 +100,9 @@ def starts_by_doubling(nxt: np.ndarray) -> np.ndarray:
     return np.flatnonzero(reached)
 
 
-def cut(kinds: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def cut(last: list[np.ndarray], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the pieces of one text."""
-    end, nxt = successors(kinds, most, overlap)
+    end, nxt = successors(last, most, overlap)
     starts = starts_by_doubling(nxt)
     return starts, end[starts]
 
@@ -121,28 +123,33 @@ def split(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
+        lengths = np.zeros(max(t.tokens) + 1, np.int64)
+        for i, token in t.tokens.items():
+            lengths[i] = len(token)
         smallest = min(most for _, most, _ in settings)
         for b in batches:
             rows: list[tuple] = []
             held = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = t.encode(text)
+                if not text or len(text.encode("utf-8", "replace")) <= smallest:
+                    continue  # no more bytes than a piece may have tokens
+                ids = np.array(t.encode(text), np.int32)
                 if len(ids) <= smallest:
                     continue
-                kinds = boundary_kinds(text, ids, t)
+                raw = text.encode("utf-8", "replace")
+                places = np.concatenate(([0], np.cumsum(lengths[ids])))
+                kinds = boundary_kinds(raw, places)
+                last = last_places(kinds)
                 for limit_id, most, overlap in settings:
                     if len(ids) <= most:
                         continue
-                    starts, ends = cut(kinds, most, overlap)
-                    for no, (a, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                        piece = ids[a:e]
-                        raw = b"".join([t.tokens[i] for i in piece])
+                    starts, ends = cut(last, most, overlap)
+                    froms, tos = places[starts].tolist(), places[ends].tolist()
+                    for no, (a, e, x, y) in enumerate(zip(starts.tolist(), ends.tolist(), froms, tos, strict=True)):
                         kind = 6 if e == len(ids) else int(kinds[e])
-                        rows.append(
-                            (limit_id, doc_id, no, a, e, e - a, overlap if no else 0, NAMES[kind], piece, raw.decode("utf-8", "replace"))
-                        )
-                        held += e - a
-                if held > 500_000:
+                        rows.append((limit_id, doc_id, no, a, e, e - a, overlap if no else 0, NAMES[kind], ids[a:e], raw[x:y].decode("utf-8", "replace")))
+                    held += len(ids)
+                if held > 1_000_000:
                     yield _batch(rows)
                     rows, held = [], 0
             if rows:
@@ -155,10 +162,12 @@ def split(
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True))
     i32 = pa.int32()
+    offsets = np.concatenate(([0], np.cumsum(c[5]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(c[8])))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(c[0], i32), pa.array(c[1], pa.int64()), *(pa.array(c[k], i32) for k in range(2, 7)),
-            pa.array(c[7], pa.string()), int_lists(list(c[8])), pa.array(c[9], pa.string()),
+            pa.array(c[7], pa.string()), lists, pa.array(c[9], pa.string()),
         ],
         names=["limit_id", "doc_id", "piece_no", "start_token", "end_token", "n_tokens", "overlap", "cut", "ids", "text"],
     )
