@@ -59,9 +59,9 @@ def boundary_kinds(raw: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 def last_places(kinds: np.ndarray) -> list[np.ndarray]:
-    """For each kind: the last place of that kind or a better one up to each place, -1 for none."""
+    """For each kind that occurs, best first: the last place of that kind or a better one up to each place, -1 for none."""
     place = np.arange(len(kinds), dtype=np.int32)
-    return [np.maximum.accumulate(np.where(kinds <= k, place, np.int32(-1))) for k in range(NEVER + 1)]
+    return [np.maximum.accumulate(np.where(kinds <= k, place, np.int32(-1))) for k in np.flatnonzero(np.bincount(kinds))]
 
 
 def successors(last: list[np.ndarray], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +79,8 @@ def successors(last: list[np.ndarray], most: int, overlap: int) -> tuple[np.ndar
         found = places[limit]
         ok = (end < 0) & (found >= least)
         end[ok] = found[ok]
+        if end.min() >= 0:
+            break
     end[place + most >= n] = n
     return end, np.where(end >= n, n, end - overlap)
 
@@ -131,12 +133,12 @@ def split(
             rows: list[tuple] = []
             held = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not text or len(text.encode("utf-8", "replace")) <= smallest:
+                raw = text.encode("utf-8", "replace") if text else b""
+                if len(raw) <= smallest:
                     continue  # no more bytes than a piece may have tokens
                 ids = np.array(t.encode(text), np.int32)
                 if len(ids) <= smallest:
                     continue
-                raw = text.encode("utf-8", "replace")
                 places = np.concatenate(([0], np.cumsum(lengths[ids])))
                 kinds = boundary_kinds(raw, places)
                 last = last_places(kinds)
