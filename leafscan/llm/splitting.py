@@ -58,25 +58,32 @@ def boundary_kinds(raw: bytes, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def last_places(kinds: np.ndarray) -> list[np.ndarray]:
-    """For each kind that occurs, best first: the last place of that kind or a better one up to each place, -1 for none."""
+def last_places(kinds: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(kind, places) of each kind that occurs, best first: the last place of that kind or a better one up to each place, -1 for none."""
     place = np.arange(len(kinds), dtype=np.int32)
-    return [np.maximum.accumulate(np.where(kinds <= k, place, np.int32(-1))) for k in np.flatnonzero(np.bincount(kinds))]
+    return [(int(k), np.maximum.accumulate(np.where(kinds <= k, place, np.int32(-1)))) for k in np.flatnonzero(np.bincount(kinds))]
 
 
-def successors(last: list[np.ndarray], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def successors(last: list[tuple[int, np.ndarray]], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """For a piece that starts at each place: where it ends, and where the next one starts (n at the end).
 
-    A piece ends at the farthest place of the best kind there is in the second half of what it may hold, and the next
-    starts overlap tokens before that.
+    A piece ends at the farthest place of the best kind there is in the second half of what it may hold, else at the farthest
+    natural place in the first half, if that is beyond the overlap, else within a word. The next starts overlap tokens before that.
     """
-    n = len(last[0]) - 1
+    n = len(last[0][1]) - 1
     place = np.arange(n + 1, dtype=np.int32)
     limit = np.minimum(place + most, n)
     least = np.minimum(place + max(overlap + 1, most // 2), limit)
     end = np.full(n + 1, -1, np.int32)
-    for places in last:
+    natural = last[0][1]
+    for kind, places in last:
         found = places[limit]
+        if kind <= WORD:
+            natural = places
+        else:
+            early = natural[limit]
+            ok = (end < 0) & (early > place + overlap)
+            end[ok] = early[ok]
         ok = (end < 0) & (found >= least)
         end[ok] = found[ok]
         if end.min() >= 0:
@@ -102,7 +109,7 @@ def starts_by_doubling(nxt: np.ndarray) -> np.ndarray:
     return np.flatnonzero(reached)
 
 
-def cut(last: list[np.ndarray], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def cut(last: list[tuple[int, np.ndarray]], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the pieces of one text."""
     end, nxt = successors(last, most, overlap)
     starts = starts_by_doubling(nxt)

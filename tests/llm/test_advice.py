@@ -1,6 +1,12 @@
 """Cases that the operators for training text lost before the advice of round 1."""
 
-from leafscan.llm import truncation
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from leafscan.llm import splitting, tokens, truncation
+from leafscan.llm.tokenizer import transducer
 
 
 # 3
@@ -23,3 +29,15 @@ def test_cut_box_beside_a_misread_line(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/page_results.parquet")
     got = {(r.rec, r.rec_id) for r in truncation.found(spark, str(tmp_path)).collect()}
     assert got == {("box", 101), ("box", 103), ("box", 105)}
+
+
+# 8
+@pytest.mark.skipif(not os.path.exists(tokens.vocabulary()), reason="no vocabulary files")
+def test_natural_place_before_a_long_run(spark):
+    text = "One line of words.\n" + "nospaces" * 300
+    pieces = splitting.split(spark.createDataFrame([(1, text)], "doc_id long, text string"), [(1, 60, 3), (2, 60, 59)], tokens.vocabulary())
+    first = pieces.where(F.col("limit_id") == 1).orderBy("piece_no").first()
+    assert first.cut == "sentence" and first.text.rstrip("\n") == "One line of words."
+    n = len(transducer(tokens.vocabulary()).encode(text))
+    got = pieces.where(F.col("limit_id") == 2).orderBy("piece_no").collect()
+    assert got[-1].end_token == n and all(a.end_token - b.start_token == 59 for a, b in zip(got, got[1:], strict=False))
