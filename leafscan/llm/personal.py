@@ -25,8 +25,6 @@ KINDS = ("email", "phone", "id", "address", "name")
 TRAIN_SPANS = 20_000
 #: Tokens seen as names at least so often, and in at least this share of all occurrences, enter the gazetteers.
 NAME_TIMES, NAME_SHARE = 2, 0.1
-#: At most 1 / NAME_RARE tokens can reach the gazetteers.
-NAME_RARE = 1e-6
 
 # Titles and words that stand before a datum of a kind, or before numbers that are none.
 TITLES = (
@@ -142,19 +140,24 @@ def name_counts(pages: DataFrame, names: Names | None = None) -> DataFrame:
     return pages.select("plain_text").mapInPandas(run, "token string, how string, n long").groupBy("token", "how").agg(F.sum("n").alias("n"))
 
 
-def gazetteer(pages: DataFrame, names: Names | None, how: str, share: float) -> set[str]:
+def likely(pages: DataFrame, names: Names | None, how: str, share: float) -> DataFrame:
+    """(token, times) of tokens seen as how in at least this share of their occurrences, and hardly ever in lower case."""
     c = name_counts(pages, names).groupBy("token").pivot("how", ["s", "g", "u", "l"]).agg(F.sum("n")).fillna(0)
-    total = F.sum(F.col("u") + F.col("l"))
-    floor = max(NAME_TIMES, NAME_RARE * (c.agg(total).first()[0] or 0))
-    ok = (F.col(how) >= floor) & (F.col(how) >= share * F.col("u")) & (F.col("l") <= 0.01 * F.col("u"))
-    return {r.token for r in c.where(ok).select("token").collect()}
+    ok = (F.col(how) > 0) & (F.col(how) >= share * F.col("u")) & (F.col("l") <= 0.01 * F.col("u"))
+    return c.where(ok).select("token", F.col(how).alias("times"))
 
 
-def learn_names(pages: DataFrame) -> Names:
+def gazetteer(tokens: DataFrame) -> set[str]:
+    return {r.token for r in tokens.where(F.col("times") >= NAME_TIMES).select("token").collect()}
+
+
+def learn_names(pages: DataFrame) -> tuple[Names, DataFrame]:
+    """(gazetteers, table of all likely surnames, those seen once too). The gazetteers' floor doesn't grow with the corpus."""
     pages = pages.where("plain_text <> ''")
-    surnames = gazetteer(pages, None, "s", NAME_SHARE)
-    given = gazetteer(pages, Names(surnames, set()), "g", 3 * NAME_SHARE)
-    return Names(surnames, {g for g in given - surnames if g.lower() not in TITLES})
+    seen = written(likely(pages, None, "s", NAME_SHARE))
+    surnames = gazetteer(seen)
+    given = gazetteer(likely(pages, Names(surnames, set()), "g", 3 * NAME_SHARE))
+    return Names(surnames, {g for g in given - surnames if g.lower() not in TITLES}), seen
 
 
 # ---------------------------------------------------------------- candidate spans and their votes
@@ -166,8 +169,9 @@ def near(before: str, words: str) -> bool:
     return re.search(rf"(?<!\w)(?:{words})[.:]?(?: (?:n[or°º]\.?|nummer|is|au|på|a|o|le|el|il|on))?\W*$", before, re.IGNORECASE) is not None
 
 
-def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], str, str, bool]]:
-    """(paragraph, kind, value, votes, word before, word after, touches the end of the text) of each candidate span."""
+def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], str, str, bool, int, str | None]]:
+    """(paragraph, kind, value, votes, word before, word after, touches the end of the text, place, surname that the gazetteer lacks)
+    of each candidate span."""
     out = []
     paras = [flat(p) for p in re.split(r"\n\s*\n", text)]
     last = max((k for k, p in enumerate(paras) if p), default=-1)
@@ -176,10 +180,10 @@ def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], st
             continue
         taken: list[tuple[int, int]] = []
 
-        def add(kind: str, a: int, b: int, votes: list[int], t: str = t, k: int = k) -> None:
+        def add(kind: str, a: int, b: int, votes: list[int], t: str = t, k: int = k, token: str | None = None) -> None:
             before = re.findall(r"[\w'’]+", t[max(0, a - 40) : a].lower())
             after = re.findall(r"[\w'’]+", t[b : b + 40].lower())
-            out.append((k, kind, t[a:b], votes, before[-1] if before else "^", after[0] if after else "$", k == last and b >= len(t), a))
+            out.append((k, kind, t[a:b], votes, before[-1] if before else "^", after[0] if after else "$", k == last and b >= len(t), a, token))
 
         for m in EMAIL.finditer(t):
             taken.append(m.span())
@@ -212,10 +216,18 @@ def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], st
             w = toks[i].group()
             ok = capital(w) and len(w) > 2 and free(toks[i])
             joined = i + 1 < len(toks) and capital(w) and t[toks[i].end() : toks[i + 1].start()] == " " and not capital(toks[i + 1].group()) and key(w + toks[i + 1].group()) in names.surnames
-            if not ok or not (names.is_surname(w) or joined):
+            known = names.is_surname(w) or joined
+            unknown = None
+            if ok and not known and i:  # a title or an initial proposes a name too
+                p, gap = toks[i - 1].group(), t[toks[i - 1].end() : toks[i].start()]
+                if key(p).lower() in TITLES and gap in (" ", ". ") or len(p) == 1 and capital(p) and gap == ". ":
+                    third = toks[i + 1].group() if i + 1 < len(toks) and t[toks[i].end() : toks[i + 1].start()] == " " else ""
+                    after_title = len(p) > 1 and capital(third) and len(third) > 2
+                    unknown = None if names.is_surname(third) and capital(third) else (third if after_title else w)
+            if not known and unknown is None:
                 i += 1
                 continue
-            j = i + 1 if joined and not names.is_surname(w) else i
+            j = i + 1 if joined and not names.is_surname(w) or unknown is not None and unknown != w else i
             a, b = toks[i].start(), toks[j].end()
             title = given = initial = inverse = 0
             q = i - 1
@@ -242,13 +254,13 @@ def spans_of(text: str, names: Names) -> list[tuple[int, str, str, list[int], st
                     b = toks[j].end() + 1
             b = a + len(re.sub(r"['’]s?$", "", t[a:b]))
             exact = 1 if all(key(x) in names.surnames or key(x) in names.given or len(x) <= 2 for x in re.findall(WORD, t[a:b])) else 0
-            add("name", a, b, [1, max(title, initial), max(given, inverse), exact, -1 if re.search(r"\d", t[a:b]) else 0])
+            add("name", a, b, [1 if known else 0, max(title, initial), max(given, inverse), exact, -1 if re.search(r"\d", t[a:b]) else 0], token=key(unknown) if unknown is not None else None)
             i = j + 1
     return out
 
 
 N_VOTES = 5
-SPANS = "page_id long, para int, kind string, value string, votes array<int>, before string, after string, at int, end boolean"
+SPANS = "page_id long, para int, kind string, value string, votes array<int>, before string, after string, at int, end boolean, token string"
 
 
 def candidate_spans(pages: DataFrame, names: Names) -> DataFrame:
@@ -265,14 +277,19 @@ def candidate_spans(pages: DataFrame, names: Names) -> DataFrame:
                 if not text:
                     continue
                 cut = n is not None and n == n and sum(bool(x.strip()) for x in text.split("\n")) < n or re.search(r"(?:…|\.\.\.\]?|�)\s*$", text)
-                for k, kind, value, votes, before, after, end, at in spans_of(text, shared.value):
+                for k, kind, value, votes, before, after, end, at, token in spans_of(text, shared.value):
                     if not (end and cut):
-                        rows.append((page_id, k, kind, value, votes, before, after, at, bool(end)))
+                        rows.append((page_id, k, kind, value, votes, before, after, at, bool(end), token))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
 
     return pages.where("page_id is not null").select("page_id", "plain_text", "n_lines").mapInPandas(run, SPANS)
 
 
+def likely_spans(spans: DataFrame, seen: DataFrame) -> DataFrame:
+    """spans without those whose surname is neither in the gazetteer nor in the table of likely surnames."""
+    return spans.where("token is null").unionByName(spans.where("token is not null").join(seen.select("token"), "token", "left_semi")).drop("token")
+
+
 # ---------------------------------------------------------------- reliabilities and the final classifier
 
 
@@ -344,7 +361,8 @@ def fit(rows: list, posterior: dict[str, dict[tuple[int, ...], float]], rounds:
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that the final classifier takes, of overlapping ones the likelier: page_id, para, at, kind, value, p."""
     pages = table(spark, sf_dir, "page_results", "page_id", "plain_text", "n_lines").dropDuplicates(["page_id"])
-    spans = written(candidate_spans(pages, learn_names(pages)))
+    names, seen = learn_names(pages)
+    spans = written(likely_spans(candidate_spans(pages, names), seen))
     patterns: dict[str, list] = {k: [] for k in KINDS}
     for r in spans.groupBy("kind", "votes").count().collect():  # at most 5 x 3^5 patterns
         patterns[r.kind].append((tuple(r.votes), r["count"]))

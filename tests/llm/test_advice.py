@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from leafscan.llm import splitting, tokens, truncation
+from leafscan.llm import personal, splitting, tokens, truncation
 from leafscan.llm.tokenizer import transducer
 
 
@@ -41,3 +41,13 @@ def test_natural_place_before_a_long_run(spark):
     n = len(transducer(tokens.vocabulary()).encode(text))
     got = pieces.where(F.col("limit_id") == 2).orderBy("piece_no").collect()
     assert got[-1].end_token == n and all(a.end_token - b.start_token == 59 for a, b in zip(got, got[1:], strict=False))
+
+
+# 4
+def test_surname_seen_once_after_a_title(spark, tmp_path):
+    text = "The keeper wrote to Mr. Quillfeather about the house. The doctor. He came later and he left."
+    filler = "Mrs. Harrow kept the house and he saw Mr. Harrow there. "
+    rows = [(1, 2, text), *((k, 1, filler * 3) for k in range(2, 30))]
+    spark.createDataFrame(rows, "page_id long, n_lines int, plain_text string").withColumn("n_lines", F.lit(1)).write.parquet(f"{tmp_path}/page_results.parquet")
+    got = {(r.kind, r.value) for r in personal.p4_found(spark, str(tmp_path)).where("page_id = 1").collect()}
+    assert got == {("name", "Quillfeather")}
