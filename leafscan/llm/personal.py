@@ -21,7 +21,7 @@ from leafscan.session import table, written
 
 KINDS = ("email", "phone", "id", "address", "name")
 
-#: Spans that the classifier is trained on, those with the smallest hashes; a bound of the sample, not of the result.
+#: Spans of each kind that the classifier is trained on, those with the smallest hashes; a bound of the sample, not of the result.
 TRAIN_SPANS = 20_000
 #: Tokens seen as names at least so often, and in at least this share of all occurrences, enter the gazetteers.
 NAME_TIMES, NAME_SHARE = 2, 0.1
@@ -367,12 +367,13 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in spans.groupBy("kind", "votes").count().collect():  # at most 5 x 3^5 patterns
         patterns[r.kind].append((tuple(r.votes), r["count"]))
     posterior = {k: reliabilities(p)[0] for k, p in patterns.items()}
-    sample = spans.orderBy(F.xxhash64("page_id", "para", "at", "kind")).limit(TRAIN_SPANS).collect()
+    smallest = F.xxhash64("page_id", "para", "at", "kind")
+    sample = [r for k in KINDS for r in spans.where(F.col("kind") == k).orderBy(smallest).limit(TRAIN_SPANS).collect()]
     weights = fit(sample, posterior)
 
     @F.pandas_udf("double")
     def score(kind: pd.Series, votes: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([float(1 / (1 + np.exp(-np.dot(features(list(v), b, a), weights[k])))) if k in weights else 0.0 for k, v, b, a in zip(kind, votes, before, after, strict=True)], dtype="float64")
+        return pd.Series([float(1 / (1 + np.exp(-np.dot(features(list(v), b, a), weights[k])))) if k in weights else posterior[k].get(tuple(int(x) for x in v), 0.5) for k, v, b, a in zip(kind, votes, before, after, strict=True)], dtype="float64")
 
     scored = spans.withColumn("p", score("kind", "votes", "before", "after")).where("p >= 0.5")
     # The same characters may be a span of two kinds: the likelier one stays.

@@ -51,3 +51,11 @@ def test_surname_seen_once_after_a_title(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, n_lines int, plain_text string").withColumn("n_lines", F.lit(1)).write.parquet(f"{tmp_path}/page_results.parquet")
     got = {(r.kind, r.value) for r in personal.p4_found(spark, str(tmp_path)).where("page_id = 1").collect()}
     assert got == {("name", "Quillfeather")}
+
+
+def test_rare_kind_keeps_its_spans(spark, tmp_path, monkeypatch):
+    rows = [(k, 1, f"Mrs. Harrow kept the house. Tel. +44 1632 9606{k}.") for k in range(10, 30)] + [(1, 1, "Write to fern@old-maps.test soon, Mrs. Harrow said.")]
+    spark.createDataFrame(rows, "page_id long, n_lines int, plain_text string").write.parquet(f"{tmp_path}/page_results.parquet")
+    monkeypatch.setattr(personal, "TRAIN_SPANS", 2)
+    got = {(r.kind, r.value) for r in personal.p4_found(spark, str(tmp_path)).where("page_id = 1").collect()}
+    assert got == {("email", "fern@old-maps.test"), ("name", "Harrow")}
