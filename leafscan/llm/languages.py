@@ -139,7 +139,7 @@ def train(rows: list[tuple[str, set[str]]]) -> Model:
         texts: dict[str, list[str]] = defaultdict(list)
         for t, lang in rows:
             if model is not None:
-                p, n = model.probabilities(t[:20_000])
+                p, n = model.probabilities(t)
                 if n < 5 or model.langs[int(p.argmax())] != lang:
                     continue
             texts[lang].append(t)

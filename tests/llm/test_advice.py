@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from leafscan.llm import personal, splitting, tokens, truncation
+from leafscan.llm import languages, personal, splitting, tokens, truncation
 from leafscan.llm.tokenizer import transducer
 
 
@@ -59,3 +59,11 @@ def test_rare_kind_keeps_its_spans(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(personal, "TRAIN_SPANS", 2)
     got = {(r.kind, r.value) for r in personal.p4_found(spark, str(tmp_path)).where("page_id = 1").collect()}
     assert got == {("email", "fern@old-maps.test"), ("name", "Harrow")}
+
+
+# 5
+def test_label_is_checked_by_the_whole_text():
+    eng, deu = "The old house stood near the river and the keeper kept the keys. ", "Das alte Haus stand am Fluss und der Diener behielt die Karten. "
+    long = deu * 350 + eng * 1000 + "zanzibar zanzibar"
+    m = languages.train([(eng, {"eng"})] * 3 + [(deu, {"deu"})] * 3 + [(long, {"eng"})])
+    assert len(deu * 350) > 20_000 and "zanzibar" in m.words
