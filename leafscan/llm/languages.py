@@ -149,12 +149,9 @@ def train(rows: list[tuple[str, set[str]]]) -> Model:
 
 def sample(docs: DataFrame, known: dict[str, str], per_language: int = PER_LANGUAGE) -> list[tuple[str, set[str]]]:
     """(text, languages) of per_language documents of each label that names a language; at most that many come to the driver."""
-    labels = [r.lang for r in docs.select("lang").distinct().limit(100_000).collect()]
-    names = {x: next(iter(s)) for x in labels if x is not None and len(s := read_label(x, known)) == 1}
-    if not names:
-        return []
-    of = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
-    labelled = docs.where(F.col("lang").isin(list(names)) & (F.length("text") >= 40)).select("doc_id", of[F.col("lang")].alias("l"))
+    only = F.udf(lambda x: next(iter(s)) if len(s := read_label(x, known)) == 1 else None, "string")
+    labels = docs.select("lang").where("lang is not null").distinct().withColumn("l", only("lang")).where("l is not null")
+    labelled = docs.where(F.length("text") >= 40).select("doc_id", "lang").join(labels, "lang").select("doc_id", "l")
     # Smallest hashes of each language: a bounded top-k, computed partition by partition.
     hashed = labelled.select("l", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("x"))
     part = hashed.groupBy("l", F.spark_partition_id().alias("p")).agg(F.sort_array(F.collect_set("x")).alias("xs"))
@@ -163,7 +160,7 @@ def sample(docs: DataFrame, known: dict[str, str], per_language: int = PER_LANGU
     ids = [x.doc_id for r in top.collect() for x in r.xs]
     rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").distinct().collect()
     rows.sort(key=lambda r: r.doc_id)
-    return [(r.text, {names[r.lang]}) for r in rows]
+    return [(r.text, read_label(r.lang, known)) for r in rows]
 
 
 def body_paragraphs(text: str) -> list[str]:

@@ -67,3 +67,11 @@ def test_label_is_checked_by_the_whole_text():
     long = deu * 350 + eng * 1000 + "zanzibar zanzibar"
     m = languages.train([(eng, {"eng"})] * 3 + [(deu, {"deu"})] * 3 + [(long, {"eng"})])
     assert len(deu * 350) > 20_000 and "zanzibar" in m.words
+
+
+def test_no_label_is_left_out(spark):
+    docs = spark.range(151_000).select(
+        F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"), F.when(F.col("id") % 151 == 0, F.concat(F.lit("en-"), "id")).otherwise(F.concat(F.lit("zz"), "id")).alias("lang")
+    )
+    got = languages.sample(docs, languages.spellings(), 2_000)
+    assert len(got) == 1_000 and all(s == {"eng"} for _, s in got)
