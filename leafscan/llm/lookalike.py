@@ -6,6 +6,7 @@ one class; a class's canonical member is joined back to its rows.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -33,12 +34,12 @@ def sign_maps() -> tuple[dict[str, str], dict[str, str], str]:
     for a, b in (CYRILLIC, GREEK, ARMENIAN):
         one |= dict(zip(a, b, strict=True))
     none = list(NO_MARK)
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         cat = unicodedata.category(c)
         if cat == "Zs":
             one[c] = " "
-        elif cat == "Cf" or 0xFE00 <= code <= 0xFE0F:
+        elif cat == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
             none.append(c)
         parts = unicodedata.decomposition(c).split()
         kind, to = (parts[0], parts[1:]) if parts and parts[0].startswith("<") else ("", parts)

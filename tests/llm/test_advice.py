@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from leafscan.llm import languages, personal, splitting, tokens, truncation
+from leafscan.llm import languages, lookalike, personal, splitting, tokens, truncation
 from leafscan.llm.tokenizer import transducer
 
 
@@ -75,3 +75,10 @@ def test_no_label_is_left_out(spark):
     )
     got = languages.sample(docs, languages.spellings(), 2_000)
     assert len(got) == 1_000 and all(s == {"eng"} for _, s in got)
+
+
+# 1
+def test_signs_without_a_mark_above_the_basic_plane(spark):
+    text = "ho\U000e0020us\U000e0100e\U0001d173"
+    got = spark.createDataFrame([(text,)], "t string").select(lookalike.mapped(F.col("t")).alias("m")).first().m
+    assert got == lookalike.form(text) == "house"
