@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,17 +65,16 @@ def last_places(kinds: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(k), np.maximum.accumulate(np.where(kinds <= k, place, np.int32(-1)))) for k in np.flatnonzero(np.bincount(kinds))]
 
 
-def successors(last: list[tuple[int, np.ndarray]], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a piece that starts at each place: where it ends, and where the next one starts (n at the end).
+def successors(last: list[tuple[int, np.ndarray]], most: int, overlap: int, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a piece that starts at each place: where it ends, and where the next one starts. stop: each place's text's last place.
 
     A piece ends at the farthest place of the best kind there is in the second half of what it may hold, else at the farthest
     natural place in the first half, if that is beyond the overlap, else within a word. The next starts overlap tokens before that.
     """
-    n = len(last[0][1]) - 1
-    place = np.arange(n + 1, dtype=np.int32)
-    limit = np.minimum(place + most, n)
-    least = np.minimum(place + max(overlap + 1, most // 2), limit)
-    end = np.full(n + 1, -1, np.int32)
+    place = np.arange(len(stop), dtype=np.int32)
+    limit = np.minimum(place + np.int32(most), stop)
+    least = np.minimum(place + np.int32(max(overlap + 1, most // 2)), limit)
+    end = np.full(len(stop), -1, np.int32)
     natural = last[0][1]
     for kind, places in last:
         found = places[limit]
@@ -88,34 +88,47 @@ def successors(last: list[tuple[int, np.ndarray]], most: int, overlap: int) -> t
         end[ok] = found[ok]
         if end.min() >= 0:
             break
-    end[place + most >= n] = n
-    return end, np.where(end >= n, n, end - overlap)
+    whole = place + np.int32(most) >= stop
+    end[whole] = stop[whole]
+    return end, np.where(end >= stop, stop, end - np.int32(overlap))
 
 
-def starts_by_doubling(nxt: np.ndarray) -> np.ndarray:
-    """Every start that is reached from place 0, by squaring the table of successors: after k rounds 2^k steps are known."""
-    n = len(nxt) - 1
-    reached = np.zeros(n + 1, bool)
-    reached[0] = True
-    jump = nxt.copy()
+def starts_by_doubling(nxt: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Every start that is reached from the places first, by squaring the table of successors: after k rounds 2^k steps are known."""
+    reached = np.zeros(len(nxt), bool)
+    reached[first] = True
+    jump, known = nxt, first
     while True:
-        new = jump[np.flatnonzero(reached)]
-        before = reached.sum()
-        reached[new] = True
-        if reached.sum() == before:
+        new = np.unique(jump[known])
+        new = new[~reached[new]]
+        if not len(new):
             break
+        reached[new] = True
+        known = np.flatnonzero(reached)
         jump = jump[jump]
-    reached[n] = False
+    reached[stop[first]] = False
     return np.flatnonzero(reached)
 
 
-def cut(last: list[tuple[int, np.ndarray]], most: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the pieces of one text."""
-    end, nxt = successors(last, most, overlap)
-    starts = starts_by_doubling(nxt)
+def cut(kinds: np.ndarray, first: np.ndarray, most: int, overlap: int, last: list[tuple[int, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the pieces of texts whose places stand one after the other, each text's from first on.
+
+    A place from which going back by the overlap would land within a character counts as being within one itself."""
+    stop = np.repeat(np.append(first[1:], len(kinds)) - 1, np.diff(np.append(first, len(kinds)))).astype(np.int32)
+    if last is None or overlap and (kinds == NEVER).any():
+        own = kinds.copy()
+        own[overlap:][kinds[: len(kinds) - overlap] == NEVER] = NEVER
+        own[first] = own[stop[first]] = PARAGRAPH
+        last = last_places(own)
+    end, nxt = successors(last, most, overlap, stop)
+    starts = starts_by_doubling(nxt, first, stop)
     return starts, end[starts]
 
 
+#: Texts are cut together until they hold so many tokens.
+AT_ONCE = 500_000
+
+
 def split(
     docs: DataFrame, settings: list[tuple[int, int, int]], path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -123,63 +136,95 @@ def split(
 
     Pieces are numbered from 0, hold piece_max tokens or fewer, cover all tokens of the text in order, and share
     exactly piece_overlap tokens with the next. cut says what kind of place a piece ends at ("end" the last).
+    Pieces begin and end between characters; only where a limit is too small for that, a character's bytes at the edge
+    are left out of a piece's text (not of its ids).
     A text within the limit, an empty or a null one gives no row. Repeated rows give repeated pieces; other columns are
-    dropped. No shuffle: texts are cut where they are read.
+    dropped. No shuffle: texts are cut where they are read, many at once.
     """
     for _, most, overlap in settings:
         if not 0 <= overlap < most:
             raise ValueError("the overlap must be less than the size of a piece")
+    smallest = min((most for _, most, _ in settings), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         lengths = np.zeros(max(t.tokens) + 1, np.int64)
         for i, token in t.tokens.items():
             lengths[i] = len(token)
-        smallest = min(most for _, most, _ in settings)
+        held: list[tuple[int, bytes, list[int]]] = []
+        n = 0
         for b in batches:
-            rows: list[tuple] = []
-            held = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace") if text else b""
                 if len(raw) <= smallest:
                     continue  # no more bytes than a piece may have tokens
-                ids = np.array(t.encode(text), np.int32)
-                if len(ids) <= smallest:
-                    continue
-                places = np.concatenate(([0], np.cumsum(lengths[ids])))
-                kinds = boundary_kinds(raw, places)
-                last = last_places(kinds)
-                for limit_id, most, overlap in settings:
-                    if len(ids) <= most:
-                        continue
-                    starts, ends = cut(last, most, overlap)
-                    froms, tos = places[starts].tolist(), places[ends].tolist()
-                    for no, (a, e, x, y) in enumerate(zip(starts.tolist(), ends.tolist(), froms, tos, strict=True)):
-                        kind = 6 if e == len(ids) else int(kinds[e])
-                        rows.append((limit_id, doc_id, no, a, e, e - a, overlap if no else 0, NAMES[kind], ids[a:e], raw[x:y].decode("utf-8", "replace")))
-                    held += len(ids)
-                if held > 1_000_000:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+                ids = t.encode(text)
+                if len(ids) > smallest:
+                    held.append((doc_id, raw, ids))
+                    n += len(ids)
+                if n > AT_ONCE:
+                    yield from _pieces(held, settings, lengths)
+                    held, n = [], 0
+        if held:
+            yield from _pieces(held, settings, lengths)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, PIECES).withColumnRenamed("doc_id", id_col)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True))
-    i32 = pa.int32()
-    offsets = np.concatenate(([0], np.cumsum(c[5]))).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(c[8])))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(c[0], i32), pa.array(c[1], pa.int64()), *(pa.array(c[k], i32) for k in range(2, 7)),
-            pa.array(c[7], pa.string()), lists, pa.array(c[9], pa.string()),
-        ],
-        names=["limit_id", "doc_id", "piece_no", "start_token", "end_token", "n_tokens", "overlap", "cut", "ids", "text"],
-    )
+def _pieces(texts: list[tuple[int, bytes, list[int]]], settings: list[tuple[int, int, int]], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pieces of texts (id, UTF-8, tokens), those of one setting after those of another. Places: one before each token and one after the last."""
+    doc_ids = np.array([d for d, _, _ in texts], np.int64)
+    n = np.array([len(ids) for _, _, ids in texts])
+    ids = np.fromiter(chain.from_iterable(x for _, _, x in texts), np.int32, int(n.sum()))
+    raw = b"\0".join(r for _, r, _ in texts)  # so that white space of two texts doesn't meet
+    first = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
+    step = np.ones(len(ids) + len(texts), np.int64)  # bytes from each place to the next; from a text to the next one it is the \0
+    step[np.delete(np.arange(len(step)), first + n)] = lengths[ids]
+    at = np.concatenate(([0], np.cumsum(step)[:-1]))
+    kinds = boundary_kinds(raw, at)
+    kinds[first] = kinds[first + n] = PARAGRAPH
+    token = np.arange(len(at)) - np.repeat(np.arange(len(texts)), n + 1)  # of each place the token after it, counted through
+    data = np.frombuffer(raw + b"\0", np.uint8)
+    edge = np.flatnonzero((data & 0xC0) != 0x80)
+    last = last_places(kinds)
+    for limit_id, most, overlap in settings:
+        own = np.flatnonzero(n > most)
+        if not len(own):
+            continue
+        if len(own) == len(texts):
+            k, f, at_k = kinds, first, None
+            starts, ends = cut(k, f, most, overlap, last)
+        else:
+            at_k = np.flatnonzero(np.repeat(n > most, n + 1))
+            f = np.concatenate(([0], np.cumsum(n[own] + 1)[:-1]))
+            starts, ends = cut(kinds[at_k], f, most, overlap)
+            starts, ends = at_k[starts], at_k[ends]
+        doc = np.searchsorted(first, starts, "right") - 1
+        begins = np.flatnonzero(np.diff(doc, prepend=-1))
+        no = np.arange(len(starts)) - np.repeat(begins, np.diff(np.append(begins, len(starts))))
+        size = ends - starts
+        kind = np.where(ends == first[doc] + n[doc], 6, kinds[ends])
+        x, y = edge[np.searchsorted(edge, at[starts])], edge[np.searchsorted(edge, at[ends], "right") - 1]
+        slices = [raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        i32, a = pa.int32(), token[starts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(starts), limit_id), i32), pa.array(doc_ids[doc]), pa.array(no, i32), pa.array(starts - first[doc], i32), pa.array(ends - first[doc], i32),
+                pa.array(size, i32), pa.array(np.where(no > 0, overlap, 0), i32), pa.DictionaryArray.from_arrays(pa.array(kind, i32), pa.array(NAMES)).cast(pa.string()),
+                _lists(np.concatenate([ids[i:j] for i, j in zip(a.tolist(), (a + size).tolist(), strict=True)]), size), _strings(slices),
+            ],
+            names=["limit_id", "doc_id", "piece_no", "start_token", "end_token", "n_tokens", "overlap", "cut", "ids", "text"],
+        )
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+
+
+def _strings(slices: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in slices]))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(slices), pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(slices)))
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:

@@ -10,8 +10,11 @@ most one longest token of lookahead.
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import regex
 
@@ -21,6 +24,24 @@ WORDS = regex.compile(
     rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 )
 
+#: Texts without signs from here on are split by the standard library's engine, with the same classes written out as ranges.
+FAR = 0x3000
+_FAR = re.compile(f"[^\\x00-\\u{FAR - 1:04x}]")
+
+
+@lru_cache(maxsize=1)
+def near_words() -> re.Pattern:
+    """WORDS for texts of signs below FAR only."""
+
+    def ranges(category: str) -> str:
+        own = [k for k in range(FAR) if unicodedata.category(chr(k))[0] == category]
+        starts = [k for k in own if k - 1 not in held] if (held := set(own)) else []
+        ends = [k for k in own if k + 1 not in held]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+    letter, number = ranges("L"), ranges("N")
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{_WS}{letter}{number}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+
 
 class BpeTransducer:
     """Encodes by a vocabulary of merge ranks (bytes -> id, lower ids merge first)."""
@@ -100,17 +121,19 @@ class BpeTransducer:
         """Ids of text without special tokens; [] of an empty or null text."""
         if not text:
             return []
-        words, out = self._words, []
-        for w in WORDS.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= self.max_words:
-                    words.clear()
-                ids = self.encode_word(w.encode("utf-8", "replace"))
-                if len(w) <= 64:
-                    words[w] = ids
-            out.extend(ids)
-        return out
+        words = self._words
+        found = (WORDS if _FAR.search(text) else near_words()).findall(text)
+        got = list(map(words.get, found))
+        if None in got:
+            for k, ids in enumerate(got):
+                if ids is None:
+                    w = found[k]
+                    ids = got[k] = words.get(w) or self.encode_word(w.encode("utf-8", "replace"))
+                    if len(w) <= 64:
+                        if len(words) >= self.max_words:
+                            words.clear()
+                        words[w] = ids
+        return list(chain.from_iterable(got))
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(utf8_stream(self.tokens[i] for i in ids))

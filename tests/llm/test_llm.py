@@ -172,8 +172,8 @@ def test_splitting_against_greedy(spark):
     for limit, most, overlap in ((1, 60, 7), (2, 40, 0)):
         g = pieces[pieces.limit_id == limit]
         assert set(g.doc_id) == {1} and (g.n_tokens <= most).all()
-        last = splitting.last_places(splitting.boundary_kinds(text.encode(), np.concatenate(([0], np.cumsum([len(transducer(VOCAB).tokens[i]) for i in ids])))))
-        end, nxt = splitting.successors(last, most, overlap)
+        kinds = splitting.boundary_kinds(text.encode(), np.concatenate(([0], np.cumsum([len(transducer(VOCAB).tokens[i]) for i in ids]))))
+        end, nxt = splitting.successors(splitting.last_places(kinds), most, overlap, np.full(len(kinds), len(ids), np.int32))
         want, at = [], 0
         while at < len(ids):
             want.append((at, int(end[at])))
@@ -182,3 +182,20 @@ def test_splitting_against_greedy(spark):
         assert all(list(i) == ids[a:e] for i, a, e in zip(g.ids, g.start_token, g.end_token, strict=True))
     with pytest.raises(ValueError):
         splitting.split(docs, [(1, 5, 5)], VOCAB)
+
+
+@needs_vocab
+def test_pieces_hold_whole_characters(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("中文字汉語\U0001f600\U0001f9ffé a\n。") for _ in range(n)) for n in (30, 400, 900)] + ["word " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = transducer(VOCAB)
+    for most, overlap in ((50, 7), (64, 0), (40, 13)):
+        got = splitting.split(docs, [(1, most, overlap)], VOCAB).orderBy("doc_id", "piece_no").collect()
+        for d, text in enumerate(texts):
+            own, ids = [r for r in got if r.doc_id == d], t.encode(text)
+            assert bool(own) == (len(ids) > most)
+            if own:
+                assert own[0].start_token == 0 and own[-1].end_token == len(ids)
+                assert all(x.end_token - y.start_token == overlap for x, y in zip(own, own[1:], strict=False))
+                assert all(r.ids == ids[r.start_token : r.end_token] and r.n_tokens <= most and "\ufffd" not in r.text and t.decode(r.ids) == r.text for r in own)
