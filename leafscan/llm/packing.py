@@ -104,7 +104,8 @@ def pack(
             out.append(pack_shard(ids, n, capacity).assign(limit_id=limit_id, shard=shard))
         return pd.concat(out)[["limit_id", "shard", "bin", "doc_id", "part_no", "start_token", "n_tokens"]]
 
-    packed = items.groupBy("shard").applyInPandas(run, PACKED)
+    # An explicit number of partitions: shards are small in bytes, and would else be merged into one task.
+    packed = items.repartition(n_shards, "shard").groupBy("shard").applyInPandas(run, PACKED)
     return packed.select(
         "limit_id",
         (F.col("shard").cast("long") * F.lit(1 << 32) + F.col("bin")).alias("container_id"),
