@@ -31,24 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where none is set (tests) a temporary one is made."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafscan-ckpt-"))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="leafscan-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a parquet table in the shared checkpoint folder, read back: used more than once but computed once."""
+    """df as a parquet table in the shared checkpoint folder, read back: used more than once but computed once, and it survives the
+    loss of executors. The table is removed when the session's JVM ends."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
