@@ -425,8 +425,8 @@ def is_cut(text: str, n_lines: int | None) -> bool:
 
 def likely_spans(spans: DataFrame, names: DataFrame) -> DataFrame:
     """spans without those whose surname is neither in the gazetteer nor in the table of likely surnames."""
-    seen = names.where("kind = 's'").select("token")
-    return spans.where("token is null").unionByName(spans.where("token is not null").join(seen, "token", "left_semi")).drop("token")
+    seen = names.where("kind = 's'").select("token", F.lit(True).alias("likely"))
+    return spans.join(seen, "token", "left").where("token is null or likely").drop("token", "likely")
 
 
 # ---------------------------------------------------------------- reliabilities and the final classifier
