@@ -21,6 +21,8 @@ from leafscan.session import table, written
 CYRILLIC = ("аеорсухіѕјһԁԛԝѵӏАВЕКМНОРСТХУІЅЈԌԚԜҮһ", "aeopcyxisjhdqwvlABEKMHOPCTXYISJGQWYh")
 GREEK = ("ονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳϹͿ", "ovpABEZHIKMNOPTYXcjCJ")
 ARMENIAN = ("օհոսՕՍ", "ohnuOU")
+LATIN = ("ɑɡ", "ag")
+CHEROKEE = ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏞᏟᏢᏙᏚᏦᏴ", "DRTAJEWMHGZLCPVSKB")
 HYPHENS = "‐‑﹣－⁃˗"
 #: Signs of no width that aren't format characters (category Cf) either.
 NO_MARK = "͏ᅟᅠㅤ឴឵᠋᠌᠍"
@@ -31,7 +33,7 @@ def sign_maps() -> tuple[dict[str, str], dict[str, str], str]:
     """(sign -> one sign, sign -> several, signs that leave no mark), from the lists above and rules over Unicode."""
     one: dict[str, str] = {}
     many: dict[str, str] = {}
-    for a, b in (CYRILLIC, GREEK, ARMENIAN):
+    for a, b in (CYRILLIC, GREEK, ARMENIAN, LATIN, CHEROKEE):
         one |= dict(zip(a, b, strict=True))
     none = list(NO_MARK)
     for code in range(0x80, sys.maxunicode + 1):
@@ -45,6 +47,11 @@ def sign_maps() -> tuple[dict[str, str], dict[str, str], str]:
         kind, to = (parts[0], parts[1:]) if parts and parts[0].startswith("<") else ("", parts)
         if kind in ("<wide>", "<narrow>"):
             one[c] = chr(int(to[0], 16))
+        elif kind == "<font>" and len(to) == 1 and cat[0] == "L":  # letters in a style of their own
+            base = chr(int(to[0], 16))
+            one[c] = one.get(base, base)
+        elif kind == "<compat>" and cat == "Nl" and len(to) == 1:  # numerals of one letter
+            one[c] = chr(int(to[0], 16))
         elif kind == "<compat>" and len(to) > 1 and unicodedata.name(c, "").startswith("LATIN") and c not in "ŉẚ":
             many[c] = "".join(chr(int(x, 16)) for x in to)  # joined letter forms, one step: the long s stays
     one |= dict.fromkeys(HYPHENS, "-")
@@ -86,31 +93,38 @@ def _signs() -> dict:
     return str.maketrans(one | many | dict.fromkeys(none, ""))
 
 
-def canonical(df: DataFrame, text_col: str, out_col: str = "canonical", scope: tuple[str, ...] = ()) -> DataFrame:
-    """df with the canonical member of each text's class in out_col.
+def rank(text: Column) -> Column:
+    """The order by which a class's canonical member is chosen: no mapped signs, then the shortest, then the smallest."""
+    return F.struct((text != mapped(text)).alias("changed"), F.length(text).alias("signs"), text.alias("text"))
+
+
+#: Hot keys are spread over so many in joins.
+SALTS = 16
+
+
+def salted(many: DataFrame, few: DataFrame, keys: list[str], how: str, by: str) -> DataFrame:
+    """many joined with few, which has each key once, where a key may be hot in many: spread by the hash of column by."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    many = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return many.join(few.withColumn("__salt", salts), [*keys, "__salt"], how).drop("__salt")
 
-    Texts are first counted (so copies of one text, however many, are one row), then grouped by alike() within
-    the scope columns. The canonical member is one with fewest mapped signs, of these the most frequent, then the
-    smallest. A null text has a null canonical form, an empty one "". Rows, repeated ones too, are kept as they are;
-    a column that is already called out_col is replaced. An empty table gives an empty result.
+
+def canonical(df: DataFrame, text_col: str, out_col: str = "canonical", id_col: str | None = None) -> DataFrame:
+    """df with the canonical member (see rank) of each text's class in out_col.
+
+    Texts are grouped by alike(), added up before the shuffle, so however many copies of a text are one row there; the members of
+    classes with more than one text, a small part, are joined back, spread by id_col where a text may be hot. A null text has a
+    null canonical form, an empty one "". Rows, repeated ones too, are kept as they are; a column that is already called out_col
+    is replaced. An empty table gives an empty result.
     """
     df = df.drop(out_col) if out_col in df.columns and out_col != text_col else df
     text = F.col(text_col)
-    keys = [F.col(c).alias(f"__s{k}") for k, c in enumerate(scope)]
-    names = [f"__s{k}" for k in range(len(scope))]
-    forms = df.where(text.isNotNull()).groupBy(*keys, text.alias("__text")).agg(F.count("*").alias("__n"))
-    forms = forms.withColumn("__alike", alike(F.col("__text")))
-    order = F.struct(
-        (F.col("__text") != mapped(F.col("__text"))).alias("changed"), F.length("__text").alias("signs"), (-F.col("__n")).alias("n"), F.col("__text").alias("text")
-    )
-    best = forms.groupBy(*names, "__alike").agg(F.min(order).getField("text").alias("__best"))
-    members = forms.alias("f").join(
-        best.alias("b"), [*(F.col(f"f.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names), F.col("f.__alike") == F.col("b.__alike")]
-    )
-    members = members.select(*(F.col(f"f.{n}").alias(f"__m{k}") for k, n in enumerate(names)), F.col("f.__text").alias("__mt"), "__best")
-    on = [df[c].eqNullSafe(F.col(f"__m{k}")) for k, c in enumerate(scope)]
-    joined = df.join(members, [*on, df[text_col] == F.col("__mt")], "left")
-    return joined.select(*(df[c] for c in df.columns), F.col("__best").alias(out_col))
+    some = df.where(text.isNotNull() & (text != "")).select(alike(text).alias("__alike"), text.alias("__t"))
+    best = some.groupBy("__alike").agg(F.min(rank(F.col("__t"))).getField("text").alias("__best"), F.min("__t").alias("__a"), F.max("__t").alias("__b"))
+    best = best.where("__a <> __b").select("__alike", "__best")
+    rows = df.withColumn("__alike", F.when(text != "", alike(text)))
+    joined = salted(rows, best, ["__alike"], "left", id_col or text_col)
+    return joined.select(*df.columns, F.coalesce("__best", text).alias(out_col))
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
@@ -124,18 +138,19 @@ def alike_pairs(left: DataFrame, right: DataFrame, scope: str) -> DataFrame:
 
     def rows(df: DataFrame, side: int) -> DataFrame:
         ok = F.col("text").isNotNull() & (F.col("text") != "") & F.col(scope).isNotNull()
-        return df.where(ok).select(F.lit(side).alias("side"), F.col("id"), F.col(scope).alias("scope"), "text", alike(F.col("text")).alias("alike"))
+        return df.where(ok).select(F.lit(side).alias("side"), F.col("id"), F.col(scope).alias("scope"), "text", alike(F.col("text")).alias("alike"), rank(F.col("text")).alias("rank"))
 
     every = rows(left, 0).unionByName(rows(right, 1))
     one_class = W.partitionBy("scope", "alike")
     classes = every.select(
         "*",
-        F.min("text").over(one_class).alias("canonical"),
-        F.max("text").over(one_class).alias("other"),
+        F.min("rank").over(one_class)["text"].alias("canonical"),
+        F.min("text").over(one_class).alias("a"),
+        F.max("text").over(one_class).alias("b"),
         F.min("side").over(one_class).alias("s0"),
         F.max("side").over(one_class).alias("s1"),
     )
-    held = written(classes.where("s0 = 0 and s1 = 1 and canonical <> other").select("side", "id", "scope", "canonical", "text"))
+    held = written(classes.where("s0 = 0 and s1 = 1 and a <> b").select("side", "id", "scope", "canonical", "text"))
     a = held.where("side = 0").select("scope", "canonical", F.col("id").alias("left_id"), F.col("text").alias("left_text"))
     b = held.where("side = 1").select("scope", "canonical", F.col("id").alias("right_id"), F.col("text").alias("right_text"))
     pairs = a.join(b, ["scope", "canonical"]).where("left_text <> right_text")
@@ -153,7 +168,7 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line and box with its text in one form."""
     lines = table(spark, sf_dir, "transcribed_lines").select(F.lit("line").alias("rec"), F.col("line_id").alias("rec_id"), "text")
     boxes = table(spark, sf_dir, "line_boxes").select(F.lit("box").alias("rec"), F.col("det_id").alias("rec_id"), "text")
-    return canonical(lines.unionByName(boxes).distinct(), "text")
+    return canonical(lines.unionByName(boxes).dropDuplicates(["rec", "rec_id"]), "text", id_col="rec_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_forms": p1_forms}

@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leafscan.llm.lookalike import form, mapped
+from leafscan.llm.lookalike import form, mapped, salted
 from leafscan.session import table, written
 
 # Glyphs that scanners confuse. First one sign drawn as two, then classes of single signs.
@@ -28,8 +28,10 @@ HYPHEN_MARKS = "-‐‑﹣－­¬⸗="
 
 CLASSES_OF = {x: "".join(c for c in CLASSES if x in c) for x in "".join(CLASSES)}
 
-#: Words and word pairs of at least this share of all are known; so at most 1 / RARE of either are sent to the executors.
-RARE = 2e-6
+#: Words and word pairs seen so often are known.
+SEEN = 2
+#: Words and pairs that an executor is sent at most; with more, each page brings its own ones, by joins.
+WORDS_SENT = 2_000_000
 #: A form is a misreading of another one of its skeleton that is this many times as frequent.
 TIMES = 8
 #: A masked edge line found on so many pages is a header or footer.
@@ -100,19 +102,21 @@ class Words:
         return best[0]
 
 
-def learn(lines: DataFrame, rare: float = RARE) -> Words:
-    """Words of the corpus of lines (column text); at most 1 / rare words and pairs reach the driver."""
+def words_of(known: list[tuple[str, int]], pairs: list[tuple[str, str, int]]) -> Words:
+    """Words from counted words and pairs. The most frequent word of a skeleton is its form, ties by the greater word."""
+    forms: dict[str, tuple[str, int]] = {}
+    for w, n in known:
+        s = skeleton_of(w)
+        if len(s) >= 3 and (s not in forms or (n, w) > forms[s][::-1]):
+            forms[s] = (w, n)
+    return Words(dict(known), {(a, b): n for a, b, n in pairs}, forms)
+
+
+def learn(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(b, n) of words and (a, b, n) of pairs of the corpus of lines (column text), those seen SEEN times or more at any size of it."""
     pairs = written(word_pairs(lines))
-    words = pairs.groupBy("b").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(2, rare * total)
-    known = words.where(F.col("n") >= least)
-    # A form counts for its skeleton with all its occurrences; the most frequent one is taken, ties by the smaller word.
-    by = known.groupBy(skeleton(F.col("b")).alias("s")).agg(F.max(F.struct(F.col("n"), F.col("b"))).alias("x"))
-    forms = {r.s: (r.x.b, r.x.n) for r in by.where(F.length("s") >= 3).collect()}
-    seen = {r.b: r.n for r in known.collect()}
-    held = {(r.a, r.b): r.n for r in pairs.where(F.col("n") >= least).collect()}
-    return Words(seen, held, forms)
+    words = pairs.groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    return written(words), pairs.where(F.col("n") >= SEEN)
 
 
 # ---------------------------------------------------------------- headers and footers
@@ -149,44 +153,72 @@ def is_title_like(text: str) -> bool:
         return False
     if t.upper() == t or sum(len(w) == 1 for w in words) >= 0.7 * len(words) > 2:
         return True
-    return t[0].isupper() and not re.search(r"[.,;:!?](['\"]?$| )", t.replace(", New Series", "")) and len(words) <= 9 or t[0].isdigit() and is_title_like(re.sub(r"^\d+\s*", "", t))
+    return t[0].isupper() and not re.search(r"[.,;:!?](['\"]?$| )", t) and len(words) <= 9 or t[0].isdigit() and is_title_like(re.sub(r"^\d+\s*", "", t))
 
 
-def edge_masks(pages: DataFrame, least: int = PAGES) -> list[str]:
-    """Masks of footers: single lines that stand alone at the end of at least so many pages, and mostly more than once in a file.
+EDGES_OUT = "page_id long, file_id long, page_no int, top array<string>, alone boolean, m string, known boolean, last string"
+BLANK_LINE = re.compile(r"\n[ \t]*\n")
+TOP_ALONE = re.compile(r"\s*[^\n]+\n[ \t]*\n")
 
-    Bounded: only masks on least pages or more in a corpus of pages, RARE at the lowest.
-    """
-    last = F.element_at(F.split("plain_text", r"\n[ \t]*\n"), -1)
-    alone = pages.where(F.col("plain_text").rlike(r"\n[ \t]*\n")).select("page_id", "file_id", last.alias("t")).dropDuplicates(["page_id"])
-    alone = alone.where(~F.col("t").contains("\n") & (F.length("t") <= 80))
-    masked = F.udf(lambda t: mask(t), "string")
-    counts = alone.where(F.col("t").rlike(r"^\P{Ll}")).select("file_id", masked("t").alias("m")).groupBy("file_id", "m").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("m").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
-    total = pages.count()
-    rows = counts.where((F.col("n") >= max(least, RARE * total)) & (2 * F.col("again") >= F.col("n"))).select("m").collect()
-    return [r.m for r in rows if r.m]
-
-
-def page_info(pages: DataFrame, titles: set[str]) -> DataFrame:
-    """(page_id, info): what a page's own lines don't tell. JSON of: is its top line repeated on the file's pages, does the file have
-    running headers, is it not the file's first page, and the first lines of the next page.
 
-    titles: levelled titles of series. Joined on (file, page number), which no file makes hot.
-    """
-    first = F.filter(F.split("plain_text", r"\n"), lambda x: F.trim(x) != "")
-    alone = F.col("plain_text").rlike(r"^\s*[^\n]+\n[ \t]*\n").alias("alone")  # a blank line after the first one
-    tops = pages.where("page_id is not null").select("page_id", "file_id", "page_no", F.slice(first, 1, 3).alias("top"), alone).dropDuplicates(["page_id"])
-    top_mask = F.udf(lambda t: mask(t[0]) if t and is_title_like(t[0]) else None, "string")
-    known = F.udf(lambda t: bool(t) and any(level(x) in titles for x in t[:2]), "boolean")
-    tops = written(tops.withColumn("m", top_mask("top")).withColumn("known", known("top")))
-    repeated = tops.where("m is not null and page_no is not null").groupBy("file_id", "m").agg(F.count("*").alias("n"))
-    headed = tops.where("known").select("file_id").unionByName(repeated.where("n > 1").select("file_id")).distinct().withColumn("headed", F.lit(True))
-    nxt = tops.select("file_id", (F.col("page_no") - 1).alias("page_no"), F.struct("top", "alone").alias("x")).groupBy("file_id", "page_no").agg(F.min("x").alias("x"))
-    out = tops.join(repeated, ["file_id", "m"], "left").join(headed, ["file_id"], "left").join(nxt, ["file_id", "page_no"], "left")
+def page_edges(pages: DataFrame, titles: set[str]) -> DataFrame:
+    """First and last lines of pages (page_id, file_id, page_no, plain_text): top, the first three; alone, is the first one followed by a
+    blank line; m, its mask if it looks like a title; known, is it a series' title; last, the mask of a line that stands alone at the
+    end. A page counts once."""
+    names = [c.split()[0] for c in EDGES_OUT.split(", ")]
+    s, i64 = pa.string(), pa.int64()
+    types = [i64, i64, pa.int32(), pa.list_(s), pa.bool_(), s, pa.bool_(), s]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page, file, no, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                text = text or ""
+                lines = [x for x in text.split("\n") if x.strip()]
+                blocks = BLANK_LINE.split(text) if lines else []
+                end = blocks[-1] if len(blocks) > 1 and "\n" not in blocks[-1] and not blocks[-1][:1].islower() else ""
+                title = mask(lines[0]) if lines and is_title_like(lines[0]) else None
+                rows.append((page, file, no, lines[:3], TOP_ALONE.match(text) is not None, title, any(level(x) in titles for x in lines[:2]), mask(end) or None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    src = pages.where("page_id is not null").select("page_id", "file_id", F.col("page_no").cast("int").alias("page_no"), "plain_text")
+    return src.mapInArrow(run, EDGES_OUT).dropDuplicates(["page_id"])
+
+
+def footers_of(edges: DataFrame, least: int = PAGES) -> DataFrame:
+    """(m, shape) of masks of footers: lines that stand alone at the end of at least so many pages, and mostly more than once in a file."""
+    counts = edges.where("last is not null").groupBy("file_id", "last").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("last").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"))
+    found = counts.where((F.col("n") >= least) & (2 * F.col("again") >= F.col("n")))
+    return found.select(F.col("last").alias("m"), F.when(F.length("last") > 12, skeleton(F.col("last"))).alias("shape"))
+
+
+def feet_of(lines: DataFrame, footers: DataFrame) -> DataFrame:
+    """(page_id, foot): JSON of those masks of a page's last two lines (page_id, line_id, line_no, text) that are footers."""
+    masked = F.udf(mask, "string", useArrow=True)
+    back = W.partitionBy("page_id").orderBy(F.col("line_no").desc(), F.col("line_id").desc())
+    rows = lines.where("trim(text) <> ''").dropDuplicates(["page_id", "line_id"]).withColumn("r", F.row_number().over(back)).where("r <= 2")
+    feet = rows.select("page_id", masked("text").alias("m")).distinct()
+    same = salted(feet, footers.select("m"), ["m"], "inner", "page_id")
+    shaped = feet.where("length(m) > 12").withColumn("shape", skeleton(F.col("m")))
+    same = same.unionByName(salted(shaped, footers.where("shape is not null").select("shape").distinct(), ["shape"], "inner", "page_id").drop("shape"))
+    return same.groupBy("page_id").agg(F.to_json(F.collect_set("m")).alias("foot"))  # at most two of a page
+
+
+def page_info(edges: DataFrame) -> DataFrame:
+    """(page_id, info): what a page's own lines don't tell. JSON of: is its top line repeated on the file's pages, does the file have
+    running headers, is it not the file's first page, and the first lines of the next page."""
+    repeated = edges.where("m is not null and page_no is not null").groupBy("file_id", "m").agg(F.count("*").alias("n"))
+    headed = edges.where("known").select("file_id").unionByName(repeated.where("n > 1").select("file_id")).distinct().withColumn("headed", F.lit(True))
+    nxt = edges.select("file_id", (F.col("page_no") - 1).alias("page_no"), F.struct("top", "alone").alias("x")).groupBy("file_id", "page_no").agg(F.min("x").alias("x"))
+    out = salted(edges, repeated, ["file_id", "m"], "left", "page_id").drop("m")
+    out = salted(out, headed, ["file_id"], "left", "page_id").join(nxt, ["file_id", "page_no"], "left")
     return out.select(
         "page_id",
-        F.to_json(F.struct((F.col("n") > 1).alias("repeated"), F.coalesce("headed", F.lit(False)).alias("headed"), (F.col("page_no") > 1).alias("later"), "alone", F.col("x.top").alias("next"), F.col("x.alone").alias("next_alone"))).alias("info"),
+        F.to_json(
+            F.struct((F.col("n") > 1).alias("repeated"), F.coalesce("headed", F.lit(False)).alias("headed"), (F.col("page_no") > 1).alias("later"), "alone", F.col("x.top").alias("next"), F.col("x.alone").alias("next_alone"))
+        ).alias("info"),
     )
 
 
@@ -382,76 +414,153 @@ class Repair:
         return out
 
 
-def repairer(spark: SparkSession, sf_dir: str) -> tuple[Repair, DataFrame]:
-    """What is learnt from all lines and pages, and the pages' information."""
-    lines = table(spark, sf_dir, "transcribed_lines", "text").select(mapped(F.col("text")).alias("text"))
-    pages = table(spark, sf_dir, "page_results", "page_id", "file_id", "page_no", "plain_text")
-    rows = table(spark, sf_dir, "archive_series", "title").distinct().limit(100_000).collect()  # fixed: 400 rows
+#: archive_series is a fixed table; with more rows than this it is refused.
+MAX_SERIES = 100_000
+
+
+def titles_of(spark: SparkSession, sf_dir: str) -> set[str]:
+    rows = table(spark, sf_dir, "archive_series", "title").distinct().limit(MAX_SERIES + 1).collect()
+    if len(rows) > MAX_SERIES:
+        raise ValueError("archive_series is meant to be a small table")
     titles = {level(r.title) for r in rows if r.title}
-    titles |= {skeleton_of(t) for t in titles} | {t[3:] for t in titles if t.startswith("the")}
-    return Repair(learn(lines), titles, set(edge_masks(pages))), page_info(pages, titles)
+    return titles | {skeleton_of(t) for t in titles} | {t[3:] for t in titles if t.startswith("the")}
+
+
+def keys_of(texts: list[str]) -> tuple[set[str], set[tuple[str, str]], set[str]]:
+    """(skeletons of words, of pairs of words, beginnings of compounds) that the repair of lines may look up: of the words, of the pieces
+    of a word at line ends joined, and of neighbours."""
+    words, pairs, heads = set(), set(), set()
+    ends: list[set[str]] = []  # of the lines before: between two of the body may stand a footer and a header of two lines each
+    for t in texts:
+        forms_ = [x.split() for x in {form(t), form(END_MARK.sub("", t))}]
+        for whole in forms_:
+            w = [x for x in (CORE.sub("", x).lower() for x in whole) if x]
+            shapes = [skeleton_of(x) for x in w]
+            words.update(shapes)
+            pairs.update(zip(shapes, shapes[1:], strict=False))
+            y = CORE.sub("", whole[0]).lower() if whole else ""
+            for x in set().union(*ends) if y else ():
+                words.update((skeleton_of(x + y), skeleton_of(f"{x}-{y}"), skeleton_of(f"{x.split('-')[-1]}-{y}")))
+                pairs.add((skeleton_of(x), skeleton_of(y)))
+                heads.add(f"{x}-{y}-")
+        if any(forms_):
+            ends = [*ends[-4:], {CORE.sub("", x[-1]).lower() for x in forms_ if x}]
+    return words, pairs, heads
+
+
+def own_words(texts: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(page_id, own): JSON of the known words and pairs that a page (page_id, texts) may look up; all by joins on skeletons."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                one, two, heads = keys_of([t or "" for t in ts])
+                rows += [(page, "w", x, "") for x in one] + [(page, "p", x, y) for x, y in two] + [(page, "h", x, "") for x in heads]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["page_id", "what", "x", "y"])
+
+    keys = written(texts.mapInArrow(run, "page_id long, what string, x string, y string"))
+    some = words.select(skeleton(F.col("b")).alias("x"), F.struct(F.lit("").alias("a"), "b", "n").alias("e"))
+    compounds = words.where("instr(b, '-') > 0").select(F.explode(F.expr("transform(filter(sequence(1, length(b)), k -> substr(b, k, 1) = '-'), k -> left(b, k))")).alias("x"), F.struct(F.lit("").alias("a"), "b", "n").alias("e"))
+    both = pairs.select(skeleton(F.col("a")).alias("x"), skeleton(F.col("b")).alias("y"), F.struct("a", "b", "n").alias("e"))
+    got = keys.where("what = 'w'").join(some, "x").select("page_id", F.lit(False).alias("pair"), "e")
+    got = got.unionByName(keys.where("what = 'h'").join(compounds, "x").select("page_id", F.lit(False).alias("pair"), "e"))
+    got = got.unionByName(keys.where("what = 'p'").join(both, ["x", "y"]).select("page_id", F.lit(True).alias("pair"), "e"))
+    # Words of one page: as many as it has, and the forms confusable with them.
+    return got.groupBy("page_id").agg(F.to_json(F.collect_set(F.struct("pair", "e.a", "e.b", "e.n"))).alias("own"))
 
 
 OUT = "page_id long, line_id long, line_no int, furniture boolean, hyphen boolean, misread boolean, clean string"
 
 
-def repaired(lines: DataFrame, info: DataFrame, repair: Repair) -> DataFrame:
+def repaired(spark: SparkSession, sf_dir: str, lines: DataFrame, sent: int = WORDS_SENT) -> DataFrame:
     """Every line (page_id, line_id, line_no, text) with its marks of noise and its cleaned text.
 
-    Lines of a page are brought together by one shuffle and read in order as a stream; a page is the unit, a copy of a
-    line counts once. Null and empty texts have no noise; lines without a page are left out.
+    What is known is learnt from all transcribed lines and pages. Lines of a page are brought together by one shuffle and read
+    in order as a stream; a page is the unit, a copy of a line counts once. Null and empty texts have no noise; lines
+    without a page are left out. Known words and pairs are sent to the executors if they are few (counted first), else each
+    page is joined with its own.
     """
-    shared = lines.sparkSession.sparkContext.broadcast(repair)
-    head = info.select("page_id", F.lit(-1).cast("long").alias("line_id"), F.lit(-1).alias("line_no"), F.col("info").alias("text"))
-    rows = lines.where("page_id is not null").select("page_id", "line_id", "line_no", "text").unionByName(head)
+    titles = titles_of(spark, sf_dir)
+    edges = written(page_edges(table(spark, sf_dir, "page_results", "page_id", "file_id", "page_no", "plain_text"), titles))
+    info, footers = written(page_info(edges)), written(footers_of(edges))
+    words, pairs = learn(table(spark, sf_dir, "transcribed_lines", "text").select(mapped(F.col("text")).alias("text")))
+    few = words.count() + pairs.count() + footers.count() <= sent
+    if few:
+        some = words_of([tuple(r) for r in words.select("b", "n").collect()], [tuple(r) for r in pairs.select("a", "b", "n").collect()])
+        shared = spark.sparkContext.broadcast(Repair(some, titles, {r.m for r in footers.select("m").collect()}))
+    else:
+        shared = spark.sparkContext.broadcast(Repair(words_of([], []), titles, set()))
+    mine = lines.where("page_id is not null").select("page_id", "line_id", "line_no", "text")
+    at = lambda k, df, c: df.select("page_id", F.lit(k).cast("long").alias("line_id"), F.lit(k).alias("line_no"), F.col(c).alias("text"))
+    rows = mine.unionByName(at(-1, info, "info"))
+    if not few:
+        after = info.select("page_id", F.posexplode(F.from_json("info", "next array<string>")["next"]).alias("line_no", "text"))
+        after = after.select("page_id", F.lit(0).cast("long").alias("line_id"), (F.col("line_no") + (1 << 30)).alias("line_no"), "text")
+        texts = mine.unionByName(after).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))).alias("t"))  # one page
+        own = own_words(texts.select("page_id", F.transform("t", lambda x: x["text"]).alias("texts")), words, pairs)
+        rows = rows.unionByName(at(-2, own, "own")).unionByName(at(-3, feet_of(mine, footers), "foot"))
     rows = rows.repartition("page_id").sortWithinPartitions("page_id", "line_no", "line_id")
+    names = [c.split()[0] for c in OUT.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         r = shared.value
-        names = [c.split()[0] for c in OUT.split(", ")]
 
-        def done(page: int, held: list[tuple], info: str | None) -> Iterable[tuple]:
+        def done(page: int, held: list[tuple], info: str | None, own: str | None, foot: str | None) -> Iterable[tuple]:
+            if not few:
+                r.footers = set(json.loads(foot)) if foot else set()
+                known = json.loads(own) if own else []
+                r.seen.clear()
+                r.words = words_of([(x["b"], x["n"]) for x in known if not x["pair"]], [(x["a"], x["b"], x["n"]) for x in known if x["pair"]])
             marks = r.page([t for _, _, t in held], json.loads(info) if info else {})
             return [(page, i, k, *m) for (i, k, _), m in zip(held, marks, strict=True)]
 
-        page, held, text, last = None, [], None, None
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        page, held, text, own, foot, last = None, [], None, None, None, None
         for b in batches:
             out: list[tuple] = []
-            for p, i, k, t in zip(b["page_id"].tolist(), b["line_id"].tolist(), b["line_no"].tolist(), b["text"].tolist(), strict=True):
+            for p, i, k, t in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if p != page:
                     if held:
-                        out += done(page, held, text)
-                    page, held, text, last = p, [], None, None
+                        out += done(page, held, text, own, foot)
+                    page, held, text, own, foot, last = p, [], None, None, None, None
                 if i == -1:
                     text = t
+                elif i == -2:
+                    own = t
+                elif i == -3:
+                    foot = t
                 elif i != last:
                     held.append((i, k, t))
                     last = i
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield batch(out)
         if held:
-            yield pd.DataFrame(done(page, held, text), columns=names)
+            yield batch(done(page, held, text, own, foot))
 
-    return rows.mapInPandas(run, OUT)
+    return rows.mapInArrow(run, OUT)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    repair, info = repairer(spark, sf_dir)
-    marks = repaired(table(spark, sf_dir, "transcribed_lines", "page_id", "line_id", "line_no", "text"), info, repair)
+    marks = repaired(spark, sf_dir, table(spark, sf_dir, "transcribed_lines", "page_id", "line_id", "line_no", "text"))
     kinds = F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("furniture", "hyphen", "misread"))))
     return marks.select("line_id", F.explode(kinds).alias("kind")).distinct()
 
 
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plain_text of every page as clean paragraphs: furniture left out, split words joined, misread ones put right."""
-    repair, info = repairer(spark, sf_dir)
     pages = table(spark, sf_dir, "page_results", "page_id", "plain_text").dropDuplicates(["page_id"])
     lines = pages.select("page_id", F.posexplode(F.split("plain_text", r"\n")).alias("line_no", "text"))
     page = W.partitionBy("page_id").orderBy("line_no")
     lines = lines.withColumn("para", F.sum(F.when(F.trim("text") == "", 1).otherwise(0)).over(page)).where("trim(text) <> ''")
     lines = lines.withColumn("line_id", F.col("line_no").cast("long"))
-    marks = repaired(lines, info, repair).where("not furniture").join(lines.select("page_id", "line_id", "para"), ["page_id", "line_id"])
+    marks = repaired(spark, sf_dir, lines).where("not furniture").join(lines.select("page_id", "line_id", "para"), ["page_id", "line_id"])
     # A word that is split at the end of a paragraph's last line goes on in the next: what follows belongs to it.
     glue = F.when(F.col("hyphen"), "").otherwise(" ")
     before = F.lag("hyphen").over(page)
