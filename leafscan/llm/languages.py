@@ -35,6 +35,8 @@ SPELLINGS = {
 }
 #: Documents that are learnt from, of each language; the ones with the smallest hash of their id. A bound of the sample, not of the result.
 PER_LANGUAGE = 400
+#: tess_languages is a fixed table of 16 rows; with more rows than this it is refused.
+MAX_CODES = 1_000
 MAX_GRAM = 5
 WORD = re.compile(r"[^\W\d_]+")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
@@ -149,7 +151,7 @@ def train(rows: list[tuple[str, set[str]]]) -> Model:
 
 def sample(docs: DataFrame, known: dict[str, str], per_language: int = PER_LANGUAGE) -> list[tuple[str, set[str]]]:
     """(text, languages) of per_language documents of each label that names a language; at most that many come to the driver."""
-    only = F.udf(lambda x: next(iter(s)) if len(s := read_label(x, known)) == 1 else None, "string")
+    only = F.udf(lambda x: next(iter(s)) if len(s := read_label(x, known)) == 1 else None, "string", useArrow=True)
     labels = docs.select("lang").where("lang is not null").distinct().withColumn("l", only("lang")).where("l is not null")
     labelled = docs.where(F.length("text") >= 40).select("doc_id", "lang").join(labels, "lang").select("doc_id", "l")
     # Smallest hashes of each language: a bounded top-k, computed partition by partition.
@@ -240,7 +242,9 @@ def page_segments(pages: DataFrame, model: Model) -> DataFrame:
 
 
 def learnt(spark: SparkSession, sf_dir: str) -> tuple[Model, dict[str, str]]:
-    codes = table(spark, sf_dir, "tess_languages", "code", "name", "names_lang").distinct().limit(1_000).collect()  # fixed: 16 rows
+    codes = table(spark, sf_dir, "tess_languages", "code", "name", "names_lang").distinct().limit(MAX_CODES + 1).collect()
+    if len(codes) > MAX_CODES:
+        raise ValueError("tess_languages is meant to be a small table")
     known = spellings([tuple(r) for r in codes])
     return train(sample(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), known)), known
 
@@ -258,7 +262,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     langs = langs.where("whole OR 2 * n > total").select("page_id", "file_id", "lang")
     jobs = table(spark, sf_dir, "job_settings", "job_id", "tesseract_language").distinct()
-    labels = F.udf(lambda x: sorted(read_label(x, known)), "array<string>")
+    labels = F.udf(lambda x: sorted(read_label(x, known)), "array<string>", useArrow=True)
     jobs = jobs.select("job_id", labels("tesseract_language").alias("named"))
     files = table(spark, sf_dir, "file_results", "file_id", "job_id").distinct()
     named = files.join(jobs, "job_id", "left").groupBy("file_id").agg(F.array_distinct(F.flatten(F.collect_list("named"))).alias("named"))
