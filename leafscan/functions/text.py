@@ -26,10 +26,20 @@ def normalized(text: str | None, strict: bool = False) -> str | None:
 
 
 @F.pandas_udf(StringType())  # a type string could not be read in a Python worker
-def normalize(text: pd.Series) -> pd.Series:
+def _normalize(text: pd.Series) -> pd.Series:
     return text.map(normalized, na_action="ignore").astype("object")
 
 
+def normalize(text: Column | str) -> Column:
+    """normalized() as a column: texts of plain ASCII stay in the JVM, where case folding is lower case."""
+    t = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(F.lower(t), r"[\t-\r\x1c-\x20]+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.when(w.rlike(r"^\[.*\]$"), w).otherwise(F.regexp_replace(w, r"^[^a-z0-9_]+|[^a-z0-9_]+$", "")))
+    plain = F.array_join(F.filter(bare, lambda w: w != ""), " ")
+    far = t.rlike(r"[^\x00-\x7f]")
+    return F.when(far, _normalize(F.when(far, t))).otherwise(plain)
+
+
 def line_key(text: Column) -> Column:
     """Lower case, white space collapsed: for comparing lines."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -45,15 +55,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+#: Distinct words that have a sign of their own each, below the surrogates.
+SIGNS = 55_000
+
+
 def as_codes(words: Column, vocabulary: Column) -> Column:
-    """words as one string with a private sign for each distinct word, so that levenshtein counts words."""
-    return F.array_join(F.transform(words, lambda w: F.chr((F.array_position(vocabulary, w) + 33).cast("long"))), "")
+    """words as one string with a sign for each distinct word, so that levenshtein counts words; for up to SIGNS distinct ones."""
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(vocabulary, w) + 255).cast("long")), 4, "0")), "UTF-16BE")
+    return F.array_join(F.transform(words, code), "")
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edits in words between two arrays of words with at most about 200 distinct ones (a line, an item); see edits() beyond."""
+    """Edits in words between two arrays of words, exact at any length; beyond SIGNS distinct words they are compared in Python."""
     both = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(as_codes(a, both), as_codes(b, both))
+    signs = F.levenshtein(as_codes(a, both), as_codes(b, both))
+    return F.when(a.isNull() | b.isNull(), None).when(F.size(both) <= SIGNS, signs).otherwise(edits(a, b)["distance"])
 
 
 def edits_of(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
@@ -75,15 +91,24 @@ def edits_of(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     return row[-1]
 
 
-@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("distance", "sub", "dele", "ins")]))
+@F.pandas_udf(StructType([StructField(c, IntegerType()) for c in ("distance", "sub", "deletions", "ins")]))
 def edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([edits_of(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)], columns=["distance", "sub", "dele", "ins"])
+    return pd.DataFrame([edits_of(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)], columns=["distance", "sub", "deletions", "ins"])
 
 
 def multiset_matches(a: Column, b: Column) -> Column:
-    """How many words two arrays share, each as often as it is in both."""
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
+    """How many words two arrays share, each as often as it is in both: both are sorted with each word numbered, and intersected."""
+
+    def numbered(words: Column) -> Column:
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<struct<w:string,k:int>>").alias("out"))
+
+        def step(acc: Column, w: Column) -> Column:
+            k = F.when((acc["k"] > 0) & (acc["last"] == w), acc["k"] + 1).otherwise(F.lit(1))
+            return F.struct(w.alias("last"), k.alias("k"), F.concat(acc["out"], F.array(F.struct(w.alias("w"), k.alias("k")))).alias("out"))
+
+        return F.aggregate(F.array_sort(words), start, step, lambda acc: acc["out"])
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def rate(numerator: Column, denominator: Column) -> Column:

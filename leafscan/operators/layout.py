@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: A new column starts after a gap of so many thousandths; boxes below or above these shares of a column's median are put right.
-COLUMN_GAP, NARROW, TALL, OVERLAP = 100, 0.5, 1.3, 0.5
+COLUMN_GAP, NARROW, TALL = 100, 0.5, 1.3
 
 
 def boxes_of(df: DataFrame) -> DataFrame:
@@ -35,57 +32,48 @@ def column_medians(with_col: DataFrame) -> DataFrame:
     )
 
 
-def column_order(rows: Sequence[dict]) -> list[dict]:
-    """One column's boxes without duplicates, put right, from top to bottom.
-
-    Of boxes that overlap a kept one by more than half of the shorter height, only the larger is kept. With three or more left,
-    narrow ones get the median extent, then tall ones the median height."""
-    if len(rows) > 1:
-        kept: list[dict] = []
-        alive = [r for r in rows if r["ymax"] - r["ymin"] > 0]
-        for r in sorted(alive, key=lambda r: (-(r["ymax"] - r["ymin"]) * (r["xmax"] - r["xmin"]), r["xmin"], r["det_idx"])):
-            def hits(k: dict, r: dict = r) -> bool:
-                both = min(k["ymax"], r["ymax"]) - max(k["ymin"], r["ymin"])
-                return both > 0 and both / min(k["ymax"] - k["ymin"], r["ymax"] - r["ymin"]) > OVERLAP
-
-            if not any(hits(k) for k in kept):
-                kept.append(dict(r))
-        rows = kept
-    upper = lambda xs: sorted(xs)[len(xs) // 2]
-    rows = [dict(r) for r in rows]
-    if len(rows) >= 3:
-        wide, left, right = upper([r["xmax"] - r["xmin"] for r in rows]), upper([r["xmin"] for r in rows]), upper([r["xmax"] for r in rows])
-        if wide > 0 and right > left:
-            for r in rows:
-                if r["xmax"] - r["xmin"] < NARROW * wide:
-                    r["xmin"], r["xmax"] = left, right
-        tall = upper([r["ymax"] - r["ymin"] for r in rows])
-        for r in rows:
-            if r["ymax"] - r["ymin"] > TALL * tall:
-                r["ymax"] = r["ymin"] + tall
-    return sorted(rows, key=lambda r: r["ymin"])
-
-
-ORDER = "page_id long, det_id long, det_idx int, text string, ymin int, xmin int, ymax int, xmax int, col int, pos int"
-
-
-def page_order(rows: list[dict]) -> list[dict]:
-    if len(rows) <= 1:
-        return [{**r, "col": 0} for r in rows]
-    out = []
-    for c in sorted({r["col"] for r in rows}):
-        out += column_order([r for r in rows if r["col"] == c])
-    return out
+_BOX = "struct<ymin:int,xmin:int,ymax:int,xmax:int,det_id:bigint,det_idx:int,text:string>"
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
-    """boxes in reading order (pos from 0): columns left to right, each from top to bottom. One page is one group.
+def _apart(boxes: Column) -> Column:
+    """A column's boxes, largest first, without those that overlap a kept one by more than half of the shorter height."""
+
+    def hits(k: Column, r: Column) -> Column:
+        return 2 * (F.least(k["ymax"], r["ymax"]) - F.greatest(k["ymin"], r["ymin"])) > F.least(k["ymax"] - k["ymin"], r["ymax"] - r["ymin"])
+
+    return F.aggregate(boxes, F.array().cast(f"array<{_BOX}>"), lambda kept, r: F.when(F.exists(kept, lambda k: hits(k, r)), kept).otherwise(F.concat(kept, F.array(r))))
 
-    Pages without a usable box give no row. Equal places are ordered by larger area, then xmin, then det_idx."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["xmin", "det_idx", "det_id"])
-        rows = page_order(pdf.to_dict("records"))
-        return pd.DataFrame([{**r, "pos": k} for k, r in enumerate(rows)], columns=[c.split()[0] for c in ORDER.split(", ")])
+def _upper(boxes: Column, value) -> Column:  # noqa: ANN001
+    return F.element_at(F.array_sort(F.transform(boxes, value)), (F.floor(F.size(boxes) / 2) + 1).cast("int"))
 
-    return columns(boxes).groupBy("page_id").applyInPandas(run, ORDER)
+
+def _changed(r: Column, **new: Column) -> Column:
+    return F.struct(*(new.get(c, r[c]).alias(c) for c in ("ymin", "xmin", "ymax", "xmax", "det_id", "det_idx", "text")))
+
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """boxes in reading order (pos from 0): columns left to right, each from top to bottom.
+
+    In a column of two or more, boxes without height and those that lie on a larger one go; with three or more left, narrow ones get the
+    median extent, then tall ones the median height. Pages without a usable box give no row. Equal places are ordered by larger area,
+    then xmin, then det_idx. One shuffle by page; a column is one array, its duplicates are found by a fold over it."""
+    tall = lambda r: r["ymax"] - r["ymin"]
+    wide = lambda r: r["xmax"] - r["xmin"]
+    by_page = columns(boxes.repartition("page_id"))
+    area = (F.col("ymax") - F.col("ymin")) * (F.col("xmax") - F.col("xmin"))
+    row = F.struct((-area).alias("k"), F.col("xmin").alias("k2"), F.col("det_idx").alias("k3"), F.col("det_id").alias("k4"), F.struct("ymin", "xmin", "ymax", "xmax", "det_id", "det_idx", "text").alias("r"))
+    cols = by_page.groupBy("page_id", "col").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("rs"))
+    kept = F.when(F.size("rs") > 1, _apart(F.filter("rs", lambda r: tall(r) > 0))).otherwise(F.col("rs"))
+    cols = cols.withColumn("rs", kept).where("size(rs) > 0")
+    many = F.size("rs") >= 3
+    cols = cols.withColumns({"w": F.when(many, _upper(F.col("rs"), wide)), "l": F.when(many, _upper(F.col("rs"), lambda r: r["xmin"])), "x": F.when(many, _upper(F.col("rs"), lambda r: r["xmax"])), "h": F.when(many, _upper(F.col("rs"), tall))})
+
+    def right(r: Column) -> Column:
+        narrow = F.coalesce((F.col("w") > 0) & (F.col("x") > F.col("l")) & (wide(r) < NARROW * F.col("w")), F.lit(False))
+        high = F.coalesce(tall(r) > TALL * F.col("h"), F.lit(False))
+        return _changed(r, xmin=F.when(narrow, F.col("l")).otherwise(r["xmin"]), xmax=F.when(narrow, F.col("x")).otherwise(r["xmax"]), ymax=F.when(high, r["ymin"] + F.col("h")).otherwise(r["ymax"]))
+
+    rows = cols.select("page_id", "col", F.posexplode(F.transform("rs", right)).alias("rank", "r")).select("page_id", "col", "rank", "r.*")
+    page = W.partitionBy("page_id").orderBy("col", "ymin", "rank")
+    return rows.withColumn("pos", (F.row_number().over(page) - 1).cast("int")).select("page_id", "det_id", "det_idx", "text", "ymin", "xmin", "ymax", "xmax", "col", "pos")

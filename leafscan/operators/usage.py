@@ -31,18 +31,27 @@ def usage(calls: DataFrame, *by: str) -> DataFrame:
     return c.groupBy(*by).agg(*sums, F.count("*").cast("long").alias("calls")).withColumn("total", F.col("input") + F.col("output") + F.col("thinking"))
 
 
-def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """usage (model, input, output, thinking, calls) with the rates that hold and the cost; null for a model without a price.
+def rates(calls: Column, tokens_in: Column) -> tuple[Column, Column]:
+    """(input, output) rates of a row joined with its price: the higher ones hold where a model has a threshold and the mean input
+    of a call is above it; null without a price."""
+    high = (F.col("threshold") != 0) & (calls != 0) & (tokens_in / calls > F.col("threshold"))
+    return F.when(high, F.col("high_in")).otherwise(F.col("price_in")), F.when(high, F.col("high_out")).otherwise(F.col("price_out"))
 
-    The higher rates hold where a model has a threshold and the mean input of a call is above it."""
-    j = usage.join(F.broadcast(prices), "model", "left")  # a catalog of a few literal rows
-    high = (F.col("threshold") != 0) & (F.col("calls") != 0) & (F.col("input") / F.col("calls") > F.col("threshold"))
-    rate_in = F.when(high, F.col("high_in")).otherwise(F.col("price_in"))
-    rate_out = F.when(high, F.col("high_out")).otherwise(F.col("price_out"))
+
+def value(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
     million = F.lit(1e6)
-    value = F.col("input") / million * rate_in + (F.col("output") + F.col("thinking")) / million * rate_out
-    j = j.withColumns({"rate_in": F.coalesce(rate_in, F.lit(0.0)), "rate_out": F.coalesce(rate_out, F.lit(0.0)), "cost": F.round(value, 8)})
-    return j.drop("price_in", "price_out", "threshold", "high_in", "high_out")
+    return F.round(tokens_in / million * rate_in + tokens_out / million * rate_out, 8)
+
+
+_PRICE = ("price_in", "price_out", "threshold", "high_in", "high_out")
+
+
+def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """usage (model, input, output, thinking, calls) with the rates that hold and the cost; null for a model without a price, or no model."""
+    j = usage.join(F.broadcast(prices), "model", "left")  # a catalog of a few literal rows
+    rate_in, rate_out = rates(F.col("calls"), F.col("input"))
+    whole = value(F.col("input"), F.col("output") + F.col("thinking"), rate_in, rate_out)
+    return j.withColumns({"rate_in": F.coalesce(rate_in, F.lit(0.0)), "rate_out": F.coalesce(rate_out, F.lit(0.0)), "cost": whole}).drop(*_PRICE)
 
 
 def deltas(calls: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,11 +75,10 @@ def estimate(files: DataFrame, per_page: DataFrame, prices: DataFrame) -> DataFr
         s("n").alias("pages"), s(F.col("n") * F.col("c")).alias("calls"), s(F.col("n") * F.col("t") * F.col("c")).alias("input"),
         s(F.col("n") * F.coalesce(low, F.lit(0))).alias("output_low"), s(F.col("n") * F.coalesce(high, F.lit(0))).alias("output_high"),
     )
-    priced = lambda out: cost(g.select("model", "mode", "input", F.col(out).alias("output"), F.lit(0).cast("long").alias("thinking"), "calls"), prices)
-    none = F.when(F.col("calls") != 0, F.col("cost"))
-    lo = priced("output_low").select("model", "mode", none.alias("cost_low"))
-    hi = priced("output_high").select("model", "mode", none.alias("cost_high"))
-    return g.join(lo, ["model", "mode"]).join(hi, ["model", "mode"])
+    j = g.join(F.broadcast(prices), "model", "left")  # keeps groups without a model
+    rate_in, rate_out = rates(F.col("calls"), F.col("input"))
+    priced = lambda out: F.when(F.col("calls") != 0, value(F.col("input"), F.col(out), rate_in, rate_out))
+    return j.select(*g.columns, priced("output_low").alias("cost_low"), priced("output_high").alias("cost_high"))
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -89,14 +97,28 @@ def log_tail(events: DataFrame, key: str, order: str, most: int = 500) -> DataFr
     return e.where(F.col("rn") <= most).withColumn("at", F.col("total") - F.col("rn")).drop("rn")
 
 
-def percent(done: Column, total: Column) -> Column:
-    return F.when(total <= 0, 0).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.rint(done / total * 100)))).cast("int")
+def percent(done: Column, total: Column, status: Column | None = None) -> Column:
+    """Whole percents, halves up, 0 to 100; 0 of nothing, and 100 once the status is done."""
+    share = F.when(total <= 0, 0).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.floor(done / total * 100 + 0.5)))).cast("int")
+    return share if status is None else F.when(status == "done", 100).otherwise(share)
+
+
+# What a service's message contains if a key is refused, a model is gone, or a call may be tried again; and status codes.
+AUTH = ("API_KEY_INVALID", "API KEY NOT VALID", "API KEY EXPIRED", "PERMISSION_DENIED", "UNAUTHENTICATED", "UNAUTHORIZED", "INVALID AUTHENTICATION")
+GONE = ("NOT_FOUND", "NO LONGER AVAILABLE", "IS NOT FOUND", "NOT SUPPORTED", "DOES NOT EXIST", "UNKNOWN MODEL", "NOT FOUND FOR API VERSION")
+AGAIN = ("UNAVAILABLE", "DEADLINE", "RESOURCE_EXHAUSTED", "INTERNAL", "OVERLOADED", "TIMEOUT", "TIMED OUT", "TEMPORARILY", "CONNECTION", "RESET BY PEER")
+AUTH_CODES, GONE_CODES, AGAIN_CODES = (401, 403), (404,), (408, 429, 500, 502, 503, 504)
 
 
 def error_class(code: Column, message: Column) -> Column:
     """auth, gone, transient or other, in this order."""
-    m = F.lower(message)
-    auth = code.isin(401, 403) | m.rlike("api key|permission|unauthenticated")
-    gone = (code == 404) | m.rlike("not found|is not supported|deprecated")
-    again = code.isin(408, 429) | code.between(500, 599) | m.rlike("timeout|timed out|unavailable|overloaded|deadline")
-    return F.when(auth, "auth").when(gone, "gone").when(again, "transient").otherwise("other")
+    m = F.upper(F.coalesce(message, F.lit("")))
+    has = lambda codes, words: F.coalesce(code.isin(*codes), F.lit(False)) | m.rlike("|".join(words))
+    return F.when(has(AUTH_CODES, AUTH), "auth").when(has(GONE_CODES, GONE), "gone").when(has(AGAIN_CODES, AGAIN), "transient").otherwise("other")
+
+
+def short_error(code: Column, message: Column) -> Column:
+    """The code and the message up to its first brace, 140 signs at most; "error" if nothing is left."""
+    text = F.trim(F.substring_index(F.coalesce(message, F.lit("")), "{", 1))
+    both = F.left(F.trim(F.concat_ws(" ", code.cast("string"), text)), F.lit(140))
+    return F.when(both == "", "error").otherwise(both)

@@ -132,7 +132,7 @@ def cer_counts(spark: SparkSession, sf: str) -> DataFrame:
 def word_edits(spark: SparkSession, sf: str) -> DataFrame:
     """Substitutions, deletions and insertions of each item; held against word_distance and a brute-force version in the tests."""
     s = scored(spark, sf).withColumn("e", T.edits("rw", "hw"))
-    return s.select("line_id", "e.distance", "e.sub", "e.dele", "e.ins")
+    return s.select("line_id", "e.distance", "e.sub", "e.deletions", "e.ins")
 
 
 @query(f"""WITH {_SCORED}
@@ -324,11 +324,6 @@ def hocr_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return formats.hocr_lines(formats.hocr_pages(pages(spark, sf), ln))
 
 
-@query()
-def alto(spark: SparkSession, sf: str) -> DataFrame:
-    return formats.alto_lines(lines(spark, sf).where("text is not null"))
-
-
 @query()
 def pdf_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """What a searchable page of 72 dots an inch would print over a scan of 300."""
@@ -426,25 +421,6 @@ def log_tail(spark: SparkSession, sf: str) -> DataFrame:
     return usage.log_tail(table(spark, sf, "call_usage", "call_id", "file_id").distinct(), "file_id", "call_id")
 
 
-@query("""SELECT job_id, count(*) AS files, count_if(error IS NULL) AS completed, count_if(error IS NOT NULL) AS failed, CASE WHEN count_if(error IS NULL) = 0 THEN 'error' ELSE 'done' END AS status,
-CAST(100.0 * count_if(error IS NULL) / count(*) AS INTEGER) AS done_percent
-FROM (SELECT DISTINCT file_id, job_id, error FROM file_results) GROUP BY job_id""")
-def job_status(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "file_results", "file_id", "job_id", "error").distinct()
-    ok = F.count_if(F.col("error").isNull())
-    return f.groupBy("job_id").agg(
-        F.count("*").alias("files"), ok.alias("completed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.when(ok == 0, "error").otherwise("done").alias("status"),
-        usage.percent(ok, F.count("*")).alias("done_percent"),
-    )
-
-
-@query("""SELECT file_id, CASE WHEN regexp_matches(lower(error), 'api key|permission|unauthenticated') THEN 'auth' WHEN regexp_matches(lower(error), 'not found|is not supported|deprecated') THEN 'gone'
-WHEN regexp_matches(lower(error), 'timeout|timed out|unavailable|overloaded|deadline') THEN 'transient' ELSE 'other' END AS kind FROM (SELECT DISTINCT file_id, error FROM file_results) WHERE error IS NOT NULL""")
-def error_classes(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "file_results", "file_id", "error").where("error is not null").distinct()
-    return f.select("file_id", usage.error_class(F.lit(None).cast("int"), F.col("error")).alias("kind"))
-
-
 @query("""SELECT file_id, n_pages, n_lines, list_filter([CASE WHEN txt_name IS NOT NULL THEN 'txt' END, CASE WHEN hocr_name IS NOT NULL THEN 'hocr' END, CASE WHEN alto_name IS NOT NULL THEN 'alto' END, CASE WHEN pdf_name IS NOT NULL THEN 'pdf' END], lambda x: x IS NOT NULL) AS outputs
 FROM (SELECT DISTINCT file_id, n_pages, n_lines, txt_name, hocr_name, alto_name, pdf_name FROM file_results)""")
 def file_outputs(spark: SparkSession, sf: str) -> DataFrame:
