@@ -50,8 +50,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Scoring items: a transcribed line as reference and the box of the same place as hypothesis, with its strata."""
-    ref = table(spark, sf, "transcribed_lines", "line_id", "page_id", "line_no", "text").distinct()
-    hyp = table(spark, sf, "line_boxes", "page_id", "det_idx", "det_id", "text").groupBy("page_id", "det_idx").agg(F.min_by("text", "det_id").alias("hyp"))
+    # Both sides are partitioned by page once: copies, the join on the line's place and the one on the page need no other shuffle.
+    ref = table(spark, sf, "transcribed_lines", "line_id", "page_id", "line_no", "text").repartition("page_id").dropDuplicates(["page_id", "line_id"])
+    hyp = table(spark, sf, "line_boxes", "page_id", "det_idx", "det_id", "text").repartition("page_id").groupBy("page_id", "det_idx").agg(F.min_by("text", "det_id").alias("hyp"))
     files = table(spark, sf, "page_results", "page_id", "file_id").distinct().join(table(spark, sf, "file_results", "file_id", "job_id").distinct(), "file_id")
     jobs = table(spark, sf, "job_settings", "job_id", "content_type", "mode", "media_resolution").distinct()
     strata = files.join(jobs, "job_id").select("page_id", "content_type", "mode", "media_resolution")
@@ -156,13 +157,14 @@ def strata_micro_avg(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_SCORED}, words AS (SELECT line_id, unnest(rw) AS w, 1 AS a, 0 AS b FROM scored UNION ALL SELECT line_id, unnest(hw), 0, 1 FROM scored),
 m AS (SELECT line_id, CAST(sum(least(a, b)) AS BIGINT) AS matched FROM (SELECT line_id, w, sum(a) AS a, sum(b) AS b FROM words GROUP BY 1, 2) GROUP BY 1)
 SELECT mode, CAST(sum(len(rw)) AS BIGINT) AS n_ref, CAST(sum(len(hw)) AS BIGINT) AS n_hyp, CAST(sum(coalesce(matched, 0)) AS BIGINT) AS matched,
-       round(CAST(sum(coalesce(matched, 0)) AS DOUBLE) / sum(len(hw)), 6) AS spot_precision, round(CAST(sum(coalesce(matched, 0)) AS DOUBLE) / sum(len(rw)), 6) AS spot_recall
+       round(CAST(sum(coalesce(matched, 0)) AS DOUBLE) / sum(len(hw)), 6) AS spot_precision, round(CAST(sum(coalesce(matched, 0)) AS DOUBLE) / sum(len(rw)), 6) AS spot_recall,
+       round(2.0 * CAST(sum(coalesce(matched, 0)) AS DOUBLE) / (sum(len(hw)) + sum(len(rw))), 6) AS spot_f1
 FROM scored LEFT JOIN m USING (line_id) WHERE mode IS NOT NULL GROUP BY mode""")
 def spotting_prf(spark: SparkSession, sf: str) -> DataFrame:
     """Labels found regardless of order: multiset matches, precision and recall by mode."""
     s = scored(spark, sf).where("mode is not null").withColumn("m", T.multiset_matches(F.col("rw"), F.col("hw")))
     g = s.groupBy("mode").agg(F.sum(F.size("rw")).cast("long").alias("n_ref"), F.sum(F.size("hw")).cast("long").alias("n_hyp"), F.sum("m").cast("long").alias("matched"))
-    return g.withColumns({"spot_precision": F.round(T.rate(F.col("matched"), F.col("n_hyp")), 6), "spot_recall": F.round(T.rate(F.col("matched"), F.col("n_ref")), 6)})
+    return g.withColumns({"spot_precision": F.round(T.rate(F.col("matched"), F.col("n_hyp")), 6), "spot_recall": F.round(T.rate(F.col("matched"), F.col("n_ref")), 6), "spot_f1": F.round(T.rate(2.0 * F.col("matched"), F.col("n_hyp") + F.col("n_ref")), 6)})
 
 
 @query()
@@ -201,11 +203,6 @@ def column_medians(spark: SparkSession, sf: str) -> DataFrame:
     return layout.column_medians(layout.columns(layout.boxes_of(table(spark, sf, "line_boxes"))))
 
 
-@query()
-def reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.reading_order(layout.boxes_of(table(spark, sf, "line_boxes"))).drop("text")
-
-
 @query(f"""WITH {_BOXES}, p AS (SELECT DISTINCT page_id, width, height FROM page_results), v AS (
  SELECT det_id, greatest(0, least(width, CAST(round_even(xmin / 1000.0::DOUBLE * width, 0) AS INTEGER))) AS a, greatest(0, least(height, CAST(round_even(ymin / 1000.0::DOUBLE * height, 0) AS INTEGER))) AS b,
         greatest(0, least(width, CAST(round_even(xmax / 1000.0::DOUBLE * width, 0) AS INTEGER))) AS c, greatest(0, least(height, CAST(round_even(ymax / 1000.0::DOUBLE * height, 0) AS INTEGER))) AS d
@@ -239,14 +236,13 @@ def word_boxes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT line_id, count(*) AS n_words, count_if(x1 - x0 < 2) AS degenerate, count_if(least(x1, px1) - greatest(x0, px0) > 0.5 * least(x1 - x0, px1 - px0)) AS overlapping FROM e GROUP BY line_id""")
 def box_defects(spark: SparkSession, sf: str) -> DataFrame:
     """Word boxes thinner than 2 pixels, and ones that share more than half of the smaller with their neighbour."""
-    w = word_boxes(spark, sf)
-    line = W.partitionBy("line_id").orderBy("word_no")
-    w = w.withColumns({"a": F.lag("x0").over(line), "b": F.lag("x1").over(line)})
-    both = F.least("x1", "b") - F.greatest("x0", "a")
-    return w.groupBy("line_id").agg(
-        F.count("*").alias("n_words"), F.count_if(F.col("x1") - F.col("x0") < 2).alias("degenerate"),
-        F.count_if(both > 0.5 * F.least(F.col("x1") - F.col("x0"), F.col("b") - F.col("a"))).alias("overlapping"),
-    )
+    t = table(spark, sf, "transcribed_lines", "line_id", "text", "x0", "x1").where("text is not null and x0 is not null").distinct()
+    w = t.withColumn("ws", geometry.spread_words(F.col("text"), F.col("x0"), F.col("x1"))).where("size(ws) > 0")
+    width = lambda b: b["x1"] - b["x0"]
+    common = F.zip_with("ws", F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.coalesce(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]) > 0.5 * F.least(width(a), width(b)), F.lit(False)))
+    return w.select(
+        "line_id", F.size("ws").cast("long").alias("n_words"), F.size(F.filter("ws", lambda b: width(b) < 2)).cast("long").alias("degenerate"), F.size(F.filter(common, lambda x: x)).cast("long").alias("overlapping")
+    )
 
 
 @query(f"""WITH {_BOXES}, p AS (SELECT DISTINCT page_id, width, height FROM page_results), l AS (SELECT DISTINCT line_id, page_id, line_no, x0, y0, x1, y1 FROM transcribed_lines), v AS (
@@ -324,6 +320,26 @@ def hocr_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return formats.hocr_lines(formats.hocr_pages(pages(spark, sf), ln))
 
 
+@query()
+def hocr_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file as one hOCR document; parsed and read back in the tests."""
+    return formats.hocr_documents(pages(spark, sf), lines(spark, sf))
+
+
+@query()
+def alto_files(spark: SparkSession, sf: str) -> DataFrame:
+    return formats.alto_documents(pages(spark, sf), lines(spark, sf))
+
+
+@query()
+def page_word_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Edits in words between the lines of a page and its plain text, over whole texts."""
+    p = table(spark, sf, "page_results", "page_id", "plain_text").dropDuplicates(["page_id"]).where("plain_text is not null")
+    ln = lines(spark, sf).where("text is not null").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "text"))), lambda x: x["text"]), "\n").alias("ref"))  # one page
+    w = p.join(ln, "page_id").select("page_id", T.words_of(T.normalize("ref")).alias("a"), T.words_of(T.normalize("plain_text")).alias("b"))
+    return w.select("page_id", F.size("a").alias("n_words"), T.word_distance(F.col("a"), F.col("b")).alias("word_errors"))
+
+
 @query()
 def pdf_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """What a searchable page of 72 dots an inch would print over a scan of 300."""
