@@ -63,10 +63,10 @@ both_ AS (SELECT l.line_id, l.text, l.x0, l.y0, l.x1, l.y1, px.det_id, tx.text A
 k AS (SELECT line_id, det_id, line_id * 100000000 + det_id AS id, x0 AS lx0, y0, x1 AS lx1, y1, ty0, ty1 FROM both_),
 w AS (SELECT coalesce(m.id, t.id) AS id, m.word_no AS mk, t.word_no AS tk, greatest(0, least(m.x1, t.x1) - greatest(m.x0, t.x0)) AS ix, m.x1 - m.x0 AS mw, t.x1 - t.x0 AS tw FROM clean_m m FULL JOIN clean_t t ON m.id = t.id AND m.word_no = t.word_no),
 v AS (SELECT w.*, k.line_id, ix * greatest(0, least(y1, ty1) - greatest(y0, ty0)) AS i, mw * (y1 - y0) + tw * (ty1 - ty0) AS s FROM w JOIN k USING (id)),
-q AS (SELECT z.line_id, z.id, count(tk) AS n_words, count(*) AS pairs, sum(one) AS iou, sum(CASE WHEN one >= 0.5 THEN 1 ELSE 0 END) AS good
- FROM (SELECT *, CASE WHEN i IS NULL OR i <= 0 OR s - i <= 0 THEN 0.0::DOUBLE ELSE round(CAST(i AS DOUBLE) / (s - i), 6) END AS one FROM v) z GROUP BY line_id, id),
+q AS (SELECT z.line_id, z.id, count(tk) AS n_words, count(*) AS pairs, CAST(sum(CAST(round(one * 1000000, 0) AS BIGINT)) AS BIGINT) AS iou, sum(CASE WHEN one >= 0.5 THEN 1 ELSE 0 END) AS good
+ FROM (SELECT *, CASE WHEN mk IS NULL OR tk IS NULL OR i <= 0 OR s - i <= 0 THEN 0.0::DOUBLE ELSE round(CAST(i AS DOUBLE) / (s - i), 6) END AS one FROM v) z GROUP BY line_id, id),
 g AS (SELECT m.id, count_if(m.x1 - m.x0 < 2 OR k.y1 - k.y0 < 2) AS degenerate, count_if(m.x0 < k.lx0 - 1 OR m.x1 > k.lx1 + 1) AS outside FROM clean_m m JOIN k USING (id) GROUP BY 1)
-SELECT line_id, CAST(n_words AS INTEGER) AS n_words, CAST(pairs AS INTEGER) AS pairs, coalesce(round(iou / pairs, 4), 0.0) AS mean_iou, CAST(good AS INTEGER) AS good, CAST(coalesce(degenerate, 0) AS INTEGER) AS degenerate, CAST(coalesce(outside, 0) AS INTEGER) AS outside
+SELECT line_id, CAST(n_words AS INTEGER) AS n_words, CAST(pairs AS INTEGER) AS pairs, (iou // pairs) / 1000000.0::DOUBLE AS mean_iou, CAST(good AS INTEGER) AS good, CAST(coalesce(degenerate, 0) AS INTEGER) AS degenerate, CAST(coalesce(outside, 0) AS INTEGER) AS outside
 FROM q LEFT JOIN g USING (id)""")
 def box_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Word boxes of each line beside those of its detected box: mean overlap over words by place (0 for surplus ones), how many share half,
@@ -81,8 +81,8 @@ def box_eval(spark: SparkSession, sf: str) -> DataFrame:
     # The shorter side is filled with nulls, so that surplus words count 0.
     ious = F.zip_with("m", "t", lambda a, c: F.coalesce(F.round(geometry.iou(a, c), 6), F.lit(0.0)))
     both = both.withColumns({"ious": ious, "d": geometry.defects(F.col("m"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))}).where("size(ious) > 0")
-    total = F.aggregate("ious", F.lit(0.0), lambda acc, x: acc + x)
-    return both.select("line_id", F.size("t").alias("n_words"), F.size("ious").alias("pairs"), F.round(total / F.size("ious"), 4).alias("mean_iou"), F.size(F.filter("ious", lambda x: x >= 0.5)).alias("good"), "d.degenerate", "d.outside")
+    total = F.aggregate("ious", F.lit(0).cast("long"), lambda acc, x: acc + F.round(x * 1_000_000, 0).cast("long"))  # in millionths, so that sums are exact
+    return both.select("line_id", F.size("t").alias("n_words"), F.size("ious").alias("pairs"), (F.floor(total / F.size("ious")) / 1e6).alias("mean_iou"), F.size(F.filter("ious", lambda x: x >= 0.5)).alias("good"), "d.degenerate", "d.outside")
 
 
 @query(f"""WITH RECURSIVE {_words_sql('l', _LINES)}, e AS (SELECT id AS line_id, word, x0, x1, word_no FROM clean_l),
