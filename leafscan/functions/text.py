@@ -1,4 +1,4 @@
-"""Text functions of the scoring suite: normalisation, keys, word codes, edit distances."""
+"""Text functions of the scoring suite: normalisation, keys, edit distances."""
 
 from __future__ import annotations
 
@@ -55,21 +55,47 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-#: Distinct words that have a sign of their own each, below the surrogates.
-SIGNS = 55_000
-
-
-def as_codes(words: Column, vocabulary: Column) -> Column:
-    """words as one string with a sign for each distinct word, so that levenshtein counts words; for up to SIGNS distinct ones."""
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(vocabulary, w) + 255).cast("long")), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, code), "")
+#: A word that is in a text so often has its bits kept; those of others are put together when they are met.
+OFTEN = 16
+
+
+def distance_of(a: list[str], b: list[str]) -> int:
+    """Edits between two lists, exact at any length. Bit-parallel: a column of the table of distances is two integers, a bit for each
+    word of a that tells if the distance goes up, or down, from the word before (Hyyrö 2003)."""
+    start, end = 0, 0
+    least = min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(a):
+        places.setdefault(w, []).append(i)
+    kept = {w: sum(1 << i for i in at) for w, at in places.items() if len(at) >= OFTEN}
+    every, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0
+    for w in b:
+        same = kept[w] if w in kept else sum(1 << i for i in places.get(w, ()))
+        flat = same | down
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(level | up)), up & level
+        distance += bool(more & last) - bool(less & last)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(flat | more)) & every, more & flat & every
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else distance_of(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edits in words between two arrays of words, exact at any length; beyond SIGNS distinct words they are compared in Python."""
-    both = F.array_distinct(F.concat(a, b))
-    signs = F.levenshtein(as_codes(a, both), as_codes(b, both))
-    return F.when(a.isNull() | b.isNull(), None).when(F.size(both) <= SIGNS, signs).otherwise(edits(a, b)["distance"])
+    """Edits in words between two arrays of words, exact at any length; null if either is null."""
+    return F.when(a == b, F.lit(0)).otherwise(_distance(F.when(a != b, a), F.when(a != b, b)))
 
 
 def edits_of(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:

@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,21 @@ def test_word_distance_of_many_words(spark):
     assert [r.d for r in got] == [brute(a, b) for a, b in rows]
 
 
+def test_word_distance_of_long_texts(spark):
+    rng = random.Random(4)
+    for k in range(400):
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, 90 if k < 40 else 9))]
+        b = [w for w in a if rng.random() > 0.2] if k % 2 else [rng.choice("abcd") for _ in range(rng.randint(0, 9))]
+        assert T.distance_of(a, b) == brute(a, b)
+    a = [f"w{k}" for k in range(60_000)]  # by a table of all pairs of words 3,600,000,000 steps
+    b = ["x", *a[: 59_000], "y", *a[59_001:]]
+    rows = [(a, b, None), (["a"], [], 0), ([], [], 0), (None, ["a"], None), (["a", "b"], ["b"], None)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, c int")
+    start = time.monotonic()
+    assert [r.d for r in df.select(T.word_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [2, 1, 0, None, 1]
+    assert time.monotonic() - start < 60
+
+
 def test_multiset_matches(spark):
     rng = random.Random(3)
     rows = [([rng.choice("abcd") for _ in range(rng.randint(0, 8))], [rng.choice("abcd") for _ in range(rng.randint(0, 8))]) for _ in range(60)]
