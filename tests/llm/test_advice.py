@@ -31,6 +31,35 @@ def test_cut_box_beside_a_misread_line(spark, tmp_path):
     assert got == {("box", 101), ("box", 103), ("box", 105)}
 
 
+def test_texts_that_only_trigrams_of_whole_pages_tell(spark, tmp_path):
+    said = ["the old house stood near the wooden mill", "a narrow bridge over the river was mended", "her brother wrote a letter to the keeper"]
+    lines = [(k, j, t) for k in range(2, 9) for j, t in enumerate(said)] + [(1, 0, said[0])]
+    rows = [(k, p, j, t) for k, (p, j, t) in enumerate(lines)]
+    spark.createDataFrame(rows, "line_id long, page_id long, line_no int, text string").write.parquet(f"{tmp_path}/transcribed_lines.parquet")
+    boxes = [
+        (101, 20, "her brother wr"),  # a page without lines and other boxes
+        (102, 21, said[2]),  # so is this, but it is whole
+        (103, 1, "thc o"),  # shorter than eight signs, its line's beginning misread
+        (104, 1, "wooden mi1l"),  # a whole half, misread
+    ]
+    spark.createDataFrame(boxes, "det_id long, page_id long, text string").write.parquet(f"{tmp_path}/line_boxes.parquet")
+    pages = [
+        (2, 3, "\n".join(said)),
+        (3, 3, f"{said[0]}\na narrow bri\n..."),  # the mark is on a line of its own
+        (4, 3, f"{said[0]}\na wholly unknown ending"),  # no line has its last words
+        (4, 3, f"{said[0]}\na wholly unknown ending"),
+        (5, 3, "\n".join([*said[:2], "her"])),
+        *((k, 3, t) for k, t in enumerate([None, "", "\n", "..."], 6)),  # nothing that could be cut
+        *((k, 4, f"{said[0]}\nfare\nwell") for k in range(30, 40)),  # words of two lines that always end a page
+    ]
+    spark.createDataFrame(pages, "page_id long, n_lines int, plain_text string").write.parquet(f"{tmp_path}/page_results.parquet")
+    got = {(r.rec, r.rec_id) for r in truncation.found(spark, str(tmp_path)).collect()}
+    assert got == {("box", 101), ("box", 103), ("page", 3), ("page", 4), ("page", 5)}
+    counts = truncation.trigram_counts(spark.createDataFrame([("a b c", False), ("a b cd", True), ("x a b c", True)], "text string, page boolean"))
+    last = truncation.finals(spark.createDataFrame([("a b c", None), ("z", "a b c")], "body string, tail string"))
+    assert [tuple(r) for r in truncation.met(last, counts).select("n", "own", "ended", "among", "final").collect()] == [(1, 1, 1, 2, 1)]
+
+
 # 8
 @pytest.mark.skipif(not os.path.exists(tokens.vocabulary()), reason="no vocabulary files")
 def test_natural_place_before_a_long_run(spark):
